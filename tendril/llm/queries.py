@@ -22,3 +22,30 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
 
     docs = table(spark, d, "documents").select("doc_id", "text")
     return packing.fill(docs, "doc_id", tokens.count(spark, F.col("text")), 2048)
+
+
+@query(
+    "p4_found",
+    """
+with recursive links as (
+  select candidate a, head b from accept_merge_candidates where candidate is not null and head is not null and status is distinct from 'rejected'),
+both_ways as (select a u, b v from links union select b, a from links),
+ids as (select candidate id from accept_merge_candidates where candidate is not null union select head from accept_merge_candidates where head is not null),
+reach(id, r) as (select id, id from ids union select reach.id, v from reach join both_ways on u = r)
+select id org_id, min(r) group_id from reach group by id""",
+)
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from tendril.llm import components
+
+    links = table(spark, d, "accept_merge_candidates")
+    found = components.groups(links, "candidate", "head", "status is null or status <> 'rejected'")
+    return found.select(F.col("id").alias("org_id"), "group_id")
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    from tendril.llm import reading
+
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    read = docs.select("doc_id", reading.level(spark, F.col("text"), table(spark, d, "reading_samples")).alias("r"))
+    return read.where("r.level is not null").select("doc_id", F.col("r.level").alias("level"))
