@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tendril.catalog import query
+from tendril.operators import nested
 from tendril.operators.history import HistoryStore
 from tendril.session import scratch, table
 
@@ -64,3 +65,32 @@ from begun""",
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     text = lambda c: F.coalesce(F.substring(F.col(c).cast("string"), 1, 19), F.lit(""))
     return tender_history(spark, d).select("tender_no", text("valid_from").alias("valid_from"), text("valid_to").alias("valid_to"))
+
+
+#: Tables of the notices' flat schema that hold entries, and what they are called in the result.
+NOTICE_CHILDREN = {"notice-title": "title", "buyer-name": "buyer", "classification-cpv": "cpv", "title": "title", "tenderers": "tenderer"}
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    notices = table(spark, d, "ted_live_notices_2026_10")
+    plan = nested.schema_graph(notices, "payload")
+    rows = nested.shred(notices, "rec_id", "payload", plan, NOTICE_CHILDREN, columns=False)
+    names = F.create_map(*[F.lit(x) for pair in NOTICE_CHILDREN.items() for x in pair])
+    at_notice, at_lot = F.col("parent_table") == nested.ROOT, F.col("parent_table") == "lots"
+    of_lot = F.col("table_name").isin("title", "classification-cpv", "tenderers")
+    kept = rows.where((at_notice & F.col("table_name").isin("notice-title", "buyer-name", "classification-cpv")) | (at_lot & of_lot))
+    child = names[F.col("table_name")]
+    lang = F.when(child.isin("title", "buyer"), F.col("entry_key")).otherwise(F.lit(""))
+    return kept.select("rec_id", F.col("parent_key").alias("lot_id"), child.alias("child"), lang.alias("lang"), "pos")
+
+
+@query("p2_tenderers")
+def p2_tenderers(spark: SparkSession, d: str) -> DataFrame:
+    """One of the flat tables: tenderers with their inlined address and the lot they lie in."""
+    notices = table(spark, d, "ted_live_notices_2026_10")
+    plan = nested.schema_graph(notices, "payload")
+    rows = nested.shred(notices, "rec_id", "payload", plan, ["tenderers"])
+    flat = nested.flat_table(rows, "rec_id", plan, "tenderers")
+    field = lambda n: F.col(f"`{n}`") if n in flat.columns else F.lit(None).cast("string")
+    return flat.select("rec_id", F.col("parent_key").alias("lot_id"), "pos", field("name").alias("name"), field("address.country").alias("country"), field("address.town").alias("town"))
