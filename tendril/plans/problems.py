@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tendril.catalog import query
-from tendril.operators import nested
+from tendril.operators import drift, nested
 from tendril.operators.history import HistoryStore
 from tendril.session import scratch, table
 
@@ -94,3 +94,21 @@ def p2_tenderers(spark: SparkSession, d: str) -> DataFrame:
     flat = nested.flat_table(rows, "rec_id", plan, "tenderers")
     field = lambda n: F.col(f"`{n}`") if n in flat.columns else F.lit(None).cast("string")
     return flat.select("rec_id", F.col("parent_key").alias("lot_id"), "pos", field("name").alias("name"), field("address.country").alias("country"), field("address.town").alias("town"))
+
+
+def _feed_changes(spark: SparkSession, d: str) -> DataFrame:
+    records = table(spark, d, "feed_records")
+    stated = F.get_json_object("payload", "$.idweb"), F.get_json_object("payload", "$['publication-number']")
+    key = F.when(F.col("feed_kind") == "boamp", stated[0]).otherwise(F.coalesce(*reversed(stated)))
+    return drift.report(records, "feed", "file_name", "file_date", key, "payload")
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _feed_changes(spark, d)
+
+
+@query("p3_table")
+def p3_table(spark: SparkSession, d: str) -> DataFrame:
+    """All records of all feeds in one table under the first names of their fields."""
+    return drift.consistent(table(spark, d, "feed_records"), _feed_changes(spark, d), "feed", "file_name", "file_date", "rec_id", "payload")
