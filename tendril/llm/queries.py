@@ -49,3 +49,56 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
     read = docs.select("doc_id", reading.level(spark, F.col("text"), table(spark, d, "reading_samples")).alias("r"))
     return read.where("r.level is not null").select("doc_id", F.col("r.level").alias("level"))
+
+
+def _number(text, order):
+    """The number without what is only writing: prefix, kind of dash, blanks, leading zeros. Null if there is none."""
+    parts = F.regexp_extract_all(text, F.lit(r"(\d+)"), 1)
+    plain = F.transform(parts, lambda x: F.coalesce(F.nullif(F.regexp_replace(x, "^0+", ""), F.lit("")), F.lit("0")))
+    return F.when(F.size(parts) >= 2, F.concat_ws("-", plain)).otherwise(F.nullif(F.upper(F.trim(text)), F.lit("")))
+
+
+def _notices(spark: SparkSession, d: str) -> DataFrame:
+    """Notices of both tables in one form; ids are 2 x rec_id, plus 1 for BOAMP, so that they rise with rec_id."""
+    from tendril.llm.forest import folded
+
+    json_text = lambda c: F.regexp_replace(F.regexp_replace(c, r'"[A-Za-z_]+"\s*:', " "), r"\\[nrtbf\"/]|\\u[0-9a-fA-F]{4}", " ")
+    day = lambda c: F.datediff(F.substring(F.trim(c), 1, 10).try_cast("date"), F.lit("1970-01-01").cast("date"))
+    orgs = table(spark, d, "organisation")
+    ted = table(spark, d, "ted_live_notices_2026_10")
+    description = json_text(F.get_json_object("payload", "$['description-lot']"))
+    title = json_text(F.get_json_object("payload", "$['notice-title']"))
+    name = folded(json_text(F.get_json_object("payload", "$['buyer-name']")))
+    identifier = F.regexp_extract(F.get_json_object("payload", "$['buyer-identifier']"), r"([A-Z0-9]{5,})", 1)
+    kind = F.coalesce("notice-type", F.get_json_object("payload", "$['notice-type']"), F.lit(""))
+    ted = ted.select(
+        (F.col("rec_id") * 2).alias("id"), "batch_no", F.concat(F.lit("t"), _number(F.col("publication-number"), 1)).alias("number"), "buyer_id", name.alias("name"), identifier.alias("identifier"),
+        F.coalesce(day(F.col("publication-date")), day(F.col("dispatch-date"))).alias("day"), F.coalesce(F.nullif(folded(description), F.lit("")), folded(title)).alias("text"), (F.lower(kind) == "corr").alias("own"), F.lit("t").alias("tbl"),
+    )
+    boamp = table(spark, d, "boamp_notices").select(
+        (F.col("rec_id") * 2 + 1).alias("id"), "batch_no", F.concat(F.lit("b"), _number(F.coalesce(F.nullif(F.trim("idweb"), F.lit("")), "id"), 1)).alias("number"), "buyer_id", folded(F.col("nomacheteur")).alias("name"), F.lit("").alias("identifier"),
+        day(F.col("dateparution")).alias("day"), folded(F.concat_ws(" ", "objet", json_text(F.col("donnees")))).alias("text"), (F.upper(F.trim(F.coalesce("nature", F.lit("")))) == "RECTIFICATIF").alias("own"), F.lit("b").alias("tbl"),
+    )
+    both = ted.unionByName(boamp)
+    # a buyer without id is looked up by number, else by name
+    by_number = orgs.where("national_reg_no is not null").groupBy(F.col("national_reg_no").alias("identifier")).agg(F.min("organisation_id").alias("by_identifier"))
+    by_name = orgs.groupBy(folded(F.col("canonical_name")).alias("name")).agg(F.min("organisation_id").alias("by_name"))
+    both = both.join(by_number, "identifier", "left").join(by_name, "name", "left")
+    buyer = F.coalesce(F.coalesce("buyer_id", "by_identifier", "by_name").cast("string"), F.nullif("name", F.lit("")))
+    return both.withColumn("block", F.concat("tbl", buyer)).select("id", "batch_no", "number", "block", "day", "text", "own")
+
+
+@query("p6_found")
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Deliveries are taken in as three updates of the index, the way a backlog and two later batches come."""
+    from tendril.llm.forest import new_forest
+
+    notices = _notices(spark, d)
+    index = new_forest(spark)
+    out = None
+    for low, high in ((None, 20), (20, 35), (35, None)):
+        part = notices.where(F.coalesce("batch_no", F.lit(0)) > (low if low is not None else -1))
+        repeats = index.ingest(part if high is None else part.where(F.coalesce("batch_no", F.lit(0)) <= high))
+        out = repeats if out is None else out.unionByName(repeats)
+    tbl = F.when(F.col("id") % 2 == 0, "ted_live_notices_2026_10").otherwise("boamp_notices")
+    return out.select(tbl.alias("tbl"), F.shiftright("first", 1).alias("first_id"), F.shiftright("id", 1).alias("rec_id"))
