@@ -1,0 +1,276 @@
+"""Labelled training texts for the personal-data tagger, written by a seeded generator.
+
+No labelled rows exist for these fields, so the spans are known by construction: a text is put together from
+pieces, and a piece that is personal data carries its kind. Names, streets and firms are syllable words, so the
+tagger has to learn endings, labels and number shapes instead of a list.
+"""
+
+from __future__ import annotations
+
+import random
+
+KINDS = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "PERSON_NAME")
+
+# Given names and surname endings by language.
+GIVEN = {
+    "pl": "Zofia Halina Grażyna Jadwiga Elżbieta Wojciech Tomasz Marek Bogdan Łukasz Anna Piotr Katarzyna Paweł Małgorzata Krzysztof Agnieszka Andrzej Michał Ewa Stanisław Barbara Jan Maria".split(),
+    "de": "Heike Ulrike Anke Jürgen Dieter Matthias Hans Petra Sabine Klaus Wolfgang Monika Stefan Uwe Birgit Günter Karin Thomas Andrea Jörg".split(),
+    "fr": "Thierry Odile Sylvie Hélène Gérard Bastien Jean Pierre Marie François Chloé Benoît Camille Étienne Lucie Michel Nathalie Julien Élodie André".split(),
+    "es": "Maite Pilar Rocío Joaquín Gonzalo Íñigo José Carmen Javier Lucía Álvaro Inés Manuel Ana Rafael Begoña Sergio Marta Andrés Nuria".split(),
+}
+SURNAME_END = {
+    "pl": "czyk owicz alski ewska uszko yniak ński cki ak ek".split(),
+    "de": "bacher mann rieder hauer feld berger meier hoff stein".split(),
+    "fr": "ot ier escu ault annec eau ard in ois".split(),
+    "es": "ordo arraga ejo uela ández ez era illo ano".split(),
+}
+SECTOR = "Techno Optronics Instruments Energie Hydraulik Marine Armatur Kabel Polymer Sanitas Logistik Elektronik Metall Trans Textil Mechanika Systems Aero".split()
+LEGAL = ["GmbH", "GmbH & Co. KG", "GmbH und Co. KG", "GmbH+Co KG", "AG", "A.G.", "Aktiengesellschaft", "Gesellschaft mit beschränkter Haftung", "SARL", "S.A.R.L.", "SAS", "S.A.S.", "SA", "S.A.", "S. A.", "société anonyme", "société par actions simplifiée", "S.L.", "S.L.U.", "S.L. Unipersonal", "Sociedad Limitada", "Sp. z o.o.", "Sp. z o. o.", "SP ZOO", "sp. zo.o.", "spółka z ograniczoną odpowiedzialnością", "sp.j.", "Sp. J.", "spółka jawna", "Spółka Akcyjna", "s.r.o.", "spol. s r.o.", "a.s.", "akciová společnost", "S.r.l.", "SRL", "srl", "S.p.A.", "SPA", "B.V.", "BV", "NV", "Besloten Vennootschap", "AB", "A.B.", "Aktiebolag", "AS", ""]
+TRADE = {
+    "pl": ["Firma Handlowa", "Usługi Remontowe", "P.H.U.", "FHU", "Zakład Krawiecki", "Zakład Usługowy", "PPHU", "Biuro Projektów"],
+    "de": ["Ingenieurbüro", "Tischlerei", "Malerbetrieb", "Schreinerei", "Elektrobetrieb"],
+    "fr": ["Entreprise", "Atelier", "Menuiserie", "Cabinet", "Garage"],
+    "es": ["Talleres", "Suministros", "Reformas", "Construcciones"],
+}
+HEADS = ["Zakup", "Konserwacja", "Usługa serwisu", "Remont", "Dostawa", "Modernizacja", "Naprawa i składowanie", "Umowa ramowa", "Najem", "Przegląd"]
+GOODS = ["zbiorniki elastyczne", "pojazdy gąsienicowe", "moduły mostowe", "przetwornice", "gąsienice zapasowe", "kuchnie polowe", "buty zimowe", "siatki maskujące", "kamizelki ochronne", "agregaty prądotwórcze", "przyrządy celownicze", "wrota hangarowe", "namioty modułowe", "naboje ćwiczebne", "przyczepy do dronów", "bębny kablowe", "radiostacje", "łodzie patrolowe", "zestawy medyczne", "stanowiska badawcze", "części zamienne", "opony"]
+
+
+class Maker:
+    """Writes texts; add() appends a piece and notes its span when it has a kind."""
+
+    def __init__(self, seed: int):
+        self.r = random.Random(seed)
+
+    # --- words -------------------------------------------------------------------------------------------------
+    def syllables(self, n: int) -> str:
+        r = self.r
+        return "".join(r.choice(["b", "d", "f", "g", "k", "l", "m", "n", "p", "r", "s", "t", "v", "br", "dr", "gr", "kr", "pr", "st", "tr", "w", "z"]) + r.choice("aeiouaeiouy"[:10]) for _ in range(n))
+
+    def place(self) -> str:
+        return (self.syllables(self.r.choice([1, 2, 2])) + self.r.choice("bdgklmnprstvx")).capitalize()
+
+    def model(self) -> str:
+        return f"{(self.syllables(self.r.choice([2, 3, 3])) + self.r.choice('bdgklmnprstvx')).capitalize()}-{self.r.randint(1, 999)}"
+
+    def digits(self, n: int) -> str:
+        return "".join(self.r.choice("0123456789") for _ in range(n))
+
+    def lang(self) -> str:
+        return self.r.choices(["pl", "de", "fr", "es"], [6, 2, 2, 1.5])[0]
+
+    def surname(self, lang: str) -> str:
+        one = lambda: (self.syllables(self.r.choice([1, 2, 2, 2, 3]) - (1 if self.r.random() < 0.1 else 0) or 1) + self.r.choice(["", "b", "d", "m", "n", "r", "l", "t"]) + self.r.choice(SURNAME_END[lang])).capitalize()
+        return one() if self.r.random() < 0.87 else f"{one()}-{one()}"
+
+    def person(self, lang: str) -> str:
+        r, given, last = self.r, self.r.choice(GIVEN[lang]), self.surname(lang)
+        x = r.random()
+        if x < 0.1:
+            given = given[0] + "."
+        if r.random() < 0.13:
+            last = last.upper()
+        if r.random() < 0.03 and len(last) > 5:  # a slip of the pen
+            i = r.randint(1, len(last) - 2)
+            last = last[:i] + last[i + 1] + last[i] + last[i + 2 :]
+        x = r.random()
+        text = f"{given} {last}" if x < 0.62 else f"{last} {given}" if x < 0.86 else f"{last}, {given}"
+        x = r.random()
+        return text.upper() if x < 0.1 else text.lower() if x < 0.02 else text
+
+    def email(self, lang: str) -> str:
+        r = self.r
+        fold = lambda s: s.lower().translate(str.maketrans("ąćęłńóśźżäöüßéèêëíáúñôîç", "acelnoszzaouseeeeiaunoic"))
+        g, s = fold(r.choice(GIVEN[lang])), fold(self.surname(lang))
+        user = r.choice([f"{g}.{s}", f"{g}_{s}", f"{s}.{g}", f"{g[0]}.{s}", f"{s}{r.randint(10, 99)}", f"zamowienia+{s}", f"biuro", f"{s}", f"info.{s}"])
+        host = r.choice(["poczta", "biuro", "kontakt", "mail", "dostawy", "urzad", "firma"]) + (f"-{self.syllables(2)}" if r.random() < 0.5 else "") + r.choice([".example", ".test", ".invalid", ".pl.example", ".pl", ".com", ".eu", ".de", ".fr"])
+        x = r.random()
+        text = f"{user}{'@' if x < 0.76 else '[at]' if x < 0.84 else ' (at) ' if x < 0.92 else ' @ '}{host}"
+        return text.upper() if r.random() < 0.1 else text
+
+    def phone(self, lang: str) -> str:
+        r, d = self.r, self.digits
+        if lang == "pl":
+            m = r.choice("5678") + d(8)
+            a, b, c = m[:3], m[3:6], m[6:]
+            return r.choice([f"{a} {b} {c}", f"{a}-{b}-{c}", f"+48{m}", f"+48 {a} {b} {c}", f"(22) {d(3)} {d(2)} {d(2)}", f"0048 {m[:2]} {d(3)}-{d(2)}-{d(2)}", f"{a} {b} {c}", f"+48 {m[:2]} {d(3)} {d(2)} {d(2)}", m if r.random() < 0.3 else f"{a}-{b}-{c}"])
+        if lang == "de":
+            return r.choice([f"+49 (0){d(3)} {d(6)}", f"0{d(3)}/{d(6)}", f"+49 {r.choice('1234567899')}{d(2)} {d(3)}-{d(3)}", f"+49 {d(3)} {d(3)}-{d(3)}", f"0{d(3)} {d(6)}"])
+        if lang == "fr":
+            return r.choice([f"0{r.randint(1, 9)}.{d(2)}.{d(2)}.{d(2)}.{d(2)}", f"0{r.randint(1, 9)} {d(2)} {d(2)} {d(2)} {d(2)}", f"+33 {r.randint(1, 9)} {d(2)} {d(2)} {d(2)} {d(2)}"])
+        return r.choice([f"+34 6{d(2)} {d(2)} {d(2)} {d(2)}", f"9{d(2)} {d(3)} {d(3)}", f"6{d(2)} {d(3)} {d(3)}", f"+34 {d(3)} {d(3)} {d(3)}"])
+
+    def pesel(self) -> str:
+        r = self.r
+        body = f"{r.randint(50, 99)}{r.choice([0, 1, 2]) * 10 + r.randint(1, 9) if r.random() < 0.5 else r.randint(21, 32):02d}{r.randint(1, 28):02d}{self.digits(4)}"
+        return body + str(-sum(int(a) * b for a, b in zip(body, (1, 3, 7, 9, 1, 3, 7, 9, 1, 3))) % 10)
+
+    def natural_id(self, lang: str) -> str:
+        r, d = self.r, self.digits
+        if lang == "pl":
+            return self.pesel() if r.random() < 0.72 else f"A{r.choice('ABCDEFGHIJ')}{r.choice('STUVWXYZ')} {d(6)}"
+        if lang == "de":
+            return f"{d(2)} {d(3)} {d(3)} {d(3)}"
+        if lang == "fr":
+            n = r.choice("12") + d(2) + f"{r.randint(1, 99):02d}" + d(2) + d(3) + d(3) + d(2)
+            return n if r.random() < 0.5 else f"{n[0]} {n[1:3]} {n[3:5]} {n[5:7]} {n[7:10]} {n[10:13]} {n[13:]}"
+        return f"99{d(6)}" + r.choice(["", "-"]) + r.choice("ABCDEFGHJKLMNPQRSTVWXYZ") if r.random() < 0.6 else d(8) + r.choice(["", "-"]) + r.choice("ABCDEFGHJKLMNPQRSTVWXYZ")
+
+    def address(self, lang: str) -> str:
+        r = self.r
+        n = str(r.randint(1, 180))
+        if lang == "pl":
+            name = (self.syllables(2) + r.choice(["", "b", "d", "k", "l", "m", "n", "r", "s", "t", "x"]) + r.choice(["ska", "owa", "na", "ska", "owa"])).capitalize()
+            word = r.choice(["ul.", "ul.", "ul.", "ulica", "pl.", "os.", "al.", "plac", "aleja", "osiedle"])
+            text = f"{word} {name} {n}" + r.choice(["", "", r.choice("ABC"), f"/{r.randint(1, 40)}", f" m. {r.randint(1, 30)}", f"/{r.randint(1, 40)}"])
+            x = r.random()
+            return text.upper().replace(" M. ", " m. ") if x < 0.14 else text
+        if lang == "de":
+            stem = self.place()
+            return r.choice([f"Am {stem}platz {n}", f"{stem}str. {n}", f"{stem}straße {n}", f"{stem}weg {n}", f"{stem}gasse {n}{r.choice(['', 'a', 'b'])}", f"An der {stem}allee {n}", f"{stem}strasse {n}"])
+        if lang == "fr":
+            n += r.choice(["", "", "", " bis", " ter"])
+            return n + r.choice([" ", " ", ", "]) + r.choice(["rue de ", "rue du ", "avenue ", "avenue de ", "boulevard de ", "chemin des ", "place de ", "quai de ", "allée des "]) + self.place() + r.choice(["", "", "s"])
+        return r.choice(["Calle ", "C/ ", "Avda. de ", "Plaza ", "Paseo de ", "Avenida "]) + self.place() + r.choice([" ", ", "]) + n
+
+    # --- firms -------------------------------------------------------------------------------------------------
+    def firm(self) -> str:
+        r = self.r
+        a = self.syllables(r.choice([3, 4, 4, 5])).capitalize() if r.random() < 0.45 else f"{self.syllables(r.choice([2, 3, 3])).capitalize()}{r.choice([' ', ' ', ' ', '-', ''])}{self.syllables(2).capitalize()}"
+        if r.random() < 0.08 and len(a) > 5:
+            i = r.randint(1, len(a) - 3)
+            a = a[:i] + a[i + 1] + a[i] + a[i + 2 :]
+        s = r.choice(SECTOR)
+        if r.random() < 0.08:
+            s = s[: r.choice([3, 4, 5])] + "."
+        text = f"{a} {s}" if r.random() < 0.75 else f"{s} {a}"
+        x = r.random()
+        text = {0: "M/s ", 1: "Firma ", 2: "Konsorcjum: ", 3: "Société "}.get(int(x * 40), "") + text
+        legal = r.choice(LEGAL)
+        text = f"{text} {legal}".strip()
+        x = r.random()
+        text = text.upper() if x < 0.1 else text.lower() if x < 0.16 else text
+        return text + {0: " – Division Service", 1: " (Werk Nord)", 2: " - Zakład nr 2", 3: f"_{self.digits(6)}", 4: " - Zakład nr 3"}.get(int(r.random() * 40), "")
+
+    def write(self) -> tuple[str, list[tuple[int, int, str]]]:
+        x = self.r.random()
+        pieces = self.supplier() if x < 0.3 else self.order()
+        text, spans = "", []
+        for s, kind in pieces:
+            if kind:
+                spans.append((len(text), len(text) + len(s), kind))
+            text += s
+        return text, spans
+
+    def supplier(self) -> list[tuple[str, str]]:
+        r = self.r
+        out: list[tuple[str, str]] = []
+        if r.random() < 0.35:
+            out = [(self.firm(), "")]
+            lang = self.lang()
+        else:
+            lang = self.lang()
+            trade, own, person = r.choice(TRADE[lang]), self.syllables(r.choice([4, 5, 5])).capitalize(), self.person(lang)
+            if r.random() < 0.06 and len(own) > 5:
+                i = r.randint(1, len(own) - 3)
+                own = own[:i] + own[i + 1] + own[i] + own[i + 2 :]
+            while "," in person:
+                person = self.person(lang)
+            x = r.random()
+            if x < 0.2:
+                out = [(person, "PERSON_NAME"), (f" – {trade} {own}", "")]
+            elif x < 0.4:
+                out = [(f"{trade} {own} – ", ""), (person, "PERSON_NAME")]
+            elif x < 0.6:
+                out = [(f"{trade} „{own}” ", ""), (person, "PERSON_NAME")]
+            elif x < 0.8:
+                out = [(person, "PERSON_NAME"), (f" {trade} „{own}”", "")]
+            else:
+                out = [(f"{own} {trade}, ", ""), (person, "PERSON_NAME")]
+        if r.random() < 0.3:
+            kind = r.choice(["PHONE", "PHONE", "EMAIL", "ADDRESS", "ID_NUMBER"])
+            sep = r.choice([" - ", ", ", "; "])
+            value = {"PHONE": self.phone, "EMAIL": self.email, "ADDRESS": self.address, "ID_NUMBER": self.natural_id}[kind](lang)
+            label = ""
+            if kind == "PHONE" and r.random() < 0.5:
+                label = "tel. "
+            if kind == "ID_NUMBER" and (lang == "pl" or r.random() < 0.2):
+                label = "PESEL " if r.random() < 0.9 else ""
+            out += [(sep + label, ""), (value, kind)]
+        elif r.random() < 0.06:
+            out += [(r.choice([" - ", ", ", "; "]) + self.decoy(), "")]
+        return out
+
+    # --- orders ------------------------------------------------------------------------------------------------
+    def sentence(self) -> str:
+        r, m, g = self.r, self.model(), self.r.choice(GOODS)
+        return r.choice([
+            f"Każda sztuka jest badana w {self.place()} przed odbiorem, partia {r.choice('ABCDEFGHIJKLMNOPQRSTUVWXYZ')}{self.digits(r.choice([4, 5]))}.",
+            f"Szkolenie {r.randint(2, 60)} operatorów w zakresie {m} wchodzi w skład zamówienia.",
+            f"Części zamienne serii {m} są objęte przez {r.randint(6, 60)} miesięcy.",
+            f"Dostawa następuje w {r.randint(2, 60)} etapach do składnicy {self.place()}.",
+            f"Pakowanie według rysunku {r.choice('ABCDEFGHIJKLMNOPQRSTUVWXYZ')}{self.digits(5)} i wymagań {self.place()}.",
+            f"Kartę techniczną {r.choice('ABCDEFGHIJKLMNOPQRSTUVWXYZ')}{self.digits(5)} należy dołączyć do oferty.",
+            f"Wymagana jest gwarancja {r.randint(6, 60)} miesięcy na {g}.",
+            f"Zamówienie obejmuje {r.randint(2, 4000)} szt. ({g}) typu {m} z narzędziami i instrukcją.",
+            f"Wykonawca odbiera stary sprzęt z {self.place()}.",
+            f"Szacowana ilość wynosi {r.randint(50, 4000)}, z opcją na {r.randint(5, 50)} kolejnych.",
+        ])
+
+    def decoy(self) -> str:
+        """Pieces that look like personal data and are none."""
+        r, d = self.r, self.digits
+        n = d(3)
+        adj = (self.syllables(2) + r.choice(["b", "d", "l", "m", "n", "r", "s", "x"])).capitalize()
+        return r.choice([
+            f"{r.randint(2, 999)} szt. @ {r.randint(1, 9)}0 zł", f"partia 0{r.randint(1, 9)}/{d(7)}", f"nr magazynowy {n} {d(3)} {n}", f"nr magazynowy {d(3)} {d(3)} {d(3)}",
+            f"termin {r.randint(1, 9)} dni, godz. 10:{r.randint(1, 8)}0", f"kod pocztowy {d(2)}-{d(3)}", f"nr sprawy {d(3)}/{r.randint(2019, 2026)}/ZP", f"przebudowa ul. {adj}owej",
+            f"odcinek drogi przy pl. {adj}skim", f"wzór {n}{d(5)}{n} wg karty", f"wzór {d(11)} wg karty", f"norma NO-{d(3)}-A{d(4)}", f"CPV {d(8)}-{d(1)}",
+            f"łódź „{r.choice(GIVEN['pl'])}”", f"okręt pomocniczy „{r.choice(GIVEN['pl'])}”", f"zadanie „{r.choice(GIVEN['pl'])}-{r.randint(2018, 2027)}”", f"umowa nr {n}-{d(4)}-{n}",
+            f"profil platformy @zakup_{self.place()}", f"rysunek {d(4)}.{d(4)}/{d(3)}", f"ogłoszenie {r.randint(2019, 2026)}/S {d(3)}-{d(5)}", f"NIP {d(3)}-{d(3)}-{d(2)}-{d(2)}", f"REGON {d(3)}-{d(3)}-{d(2)}-{d(2)}",
+            f"NIP {d(9)}", f"REGON {d(9)}", f"NIP {d(10)}", f"kaliber 5,56 mm x {d(3)}", f"nr katalogowy {d(10)}", f"nr katalogowy {d(3)}-{d(3)}-{d(2)}-{d(3)}", f"ulica {adj}ska jest zamknięta", f"most przy al. {adj}owej",
+        ])
+
+    def frame(self) -> list[tuple[str, str]]:
+        """Pieces with personal data and their labels."""
+        r, lang = self.r, self.lang()
+        N, P, E, A, I = (lambda: (self.person(lang), "PERSON_NAME")), (lambda: (self.phone(lang), "PHONE")), (lambda: (self.email(lang), "EMAIL")), (lambda: (self.address(lang), "ADDRESS")), (lambda: (self.natural_id(lang), "ID_NUMBER"))  # noqa: E731, E741
+        t = lambda s: (s, "")
+        town = t(f"{self.digits(2)}-{self.digits(3)} {self.place()}")
+        return r.choice([
+            lambda: [t("pytania kierować do: "), N()], lambda: [t("kontakt: "), E()], lambda: [t("Nadzór: "), N()], lambda: [t("upoważniony: "), N(), t(" / "), E()],
+            lambda: [t("komisja: "), N(), t(", "), N()], lambda: [t("komisja: "), N(), t(", "), N()], lambda: [t("oferty proszę słać na "), E(), t(", do rąk "), N()], lambda: [t("nr dowodu/PESEL odbiorcy "), I()],
+            lambda: [t("użytkownik lokalu: "), N(), t(", PESEL "), I()], lambda: [t("legitymacja i nr ewid. "), I(), t(" – "), N()], lambda: [t("wersje edytowalne pod adresem "), E(), t(" lub "), P()],
+            lambda: [t("tel./faks: "), P(), t(", "), E()], lambda: [t("uwaga, nowy numer: "), P()], lambda: [t("Osoba do kontaktu: "), N(), t(", tel. "), P(), t(", e-mail: "), E()],
+            lambda: [t("Sprawę prowadzi "), N(), t(" ("), P(), t(")")], lambda: [t("tel. "), P()], lambda: [t("miejsce dostawy: "), town, t(", "), A()], lambda: [t("kwatera pod adresem "), A(), t(" (najemca "), N(), t(")")],
+            lambda: [t("dodatkowe informacje u "), N(), t("; kom. "), P()], lambda: [t("odbiór sprzętu: "), A(), t(", "), town], lambda: [t("zgłoszenia: "), P(), t(" lub "), P()],
+            lambda: [t("dla p. "), N(), t(", zam. "), A()], lambda: [t("telefon dyżurny – "), P(), t(", magazyn "), A()], lambda: [t("Przekazać: "), N(), t(", "), A(), t(", "), town, t(", "), P()],
+            lambda: [A(), t(" – wjazd od placu, dzwonić "), P()], lambda: [t("informacji udziela p. "), N(), t(", "), P()], lambda: [t("inspektor mgr inż. "), N()], lambda: [t("adres: "), A()],
+        ])()
+
+    def order(self) -> list[tuple[str, str]]:
+        r = self.r
+        base = f"{r.choice(HEADS)}: {r.choice(GOODS)} {self.model()}"
+        k = r.choice([0, 0, 1, 1, 1, 2, 2, 3, 4])
+        sentences = [self.sentence() for _ in range(k)]
+        body = base + (". " + " ".join(sentences) if k else "")
+        out: list[tuple[str, str]] = [(body, "")]
+        extras = r.choices([0, 1, 2, 3], [0.08, 0.5, 0.3, 0.12])[0]
+        for _ in range(extras):
+            piece = self.frame() if r.random() < 0.68 else [(self.decoy(), "")]
+            x = r.random()
+            if x < 0.22:
+                out = [*piece, (r.choice([" – ", " – ", ": ", "; ", "\n"]), ""), *out]
+            elif x < 0.32 and k:  # in the middle of the sentences, after the head
+                end = len(base) + 1
+                if out[0][0].startswith(base) and len(out[0][0]) > end:
+                    head, rest = out[0][0][: len(base)], out[0][0][end:]
+                    out = [(head + r.choice([". ", "; ", ", ", "\n", " – "]), ""), *piece, ("." + rest, ""), *out[1:]]
+                else:
+                    out += [(" ", ""), *piece]
+            else:
+                a, b = r.choice([(" – ", ""), (", ", ""), ("; ", ""), (". ", ""), ("\n", ""), (" (", ")"), (" ", ""), (" (", ")"), (".. ", "")])
+                out += [(a, ""), *piece, (b, "")]
+        if r.random() < 0.05:
+            out += [(r.choice([" ", "\n", ". "]) + " ".join(self.sentence() for _ in range(2)), "")]
+        return out

@@ -102,3 +102,24 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
         out = repeats if out is None else out.unionByName(repeats)
     tbl = F.when(F.col("id") % 2 == 0, "ted_live_notices_2026_10").otherwise("boamp_notices")
     return out.select(tbl.alias("tbl"), F.shiftright("first", 1).alias("first_id"), F.shiftright("id", 1).alias("rec_id"))
+
+
+def _supplier_matches(spark: SparkSession, d: str):
+    from tendril.llm import matching
+
+    return matching.matches(table(spark, d, "supplier_dedupe"), "supplier_id", "name", "numbers", "country", "city")
+
+
+@query("p1_found")
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from tendril.llm import matching
+
+    _, groups, member = _supplier_matches(spark, d)
+    return matching.pairs_of_groups(groups, member)
+
+
+@query("p1_pairs")
+def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of profiles with the confidence that they are one company."""
+    scored, _, _ = _supplier_matches(spark, d)
+    return scored.select(F.col("p").alias("id_a"), F.col("q").alias("id_b"), F.round("confidence", 4).alias("confidence"))
