@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tendril.plans.market  # noqa: F401
 import tendril.plans.problems  # noqa: F401
 from tendril.catalog import ORACLE, QUERIES
 
