@@ -28,14 +28,15 @@ def one_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[\s ]+", " "))
 
 
-TENDER_ATTRIBUTES = {"title": one_space(F.col("title")), "status": F.col("status"), "deadline": instant(F.col("deadline")), "value_amount": number(F.col("value_amount"))}
+def tender_attributes() -> dict[str, Column]:
+    return {"title": one_space(F.col("title")), "status": F.col("status"), "deadline": instant(F.col("deadline")), "value_amount": number(F.col("value_amount"))}
 
 
 def tender_history(spark: SparkSession, d: str) -> DataFrame:
     """History of the tenders: the collection up to the last 30 days is the first update, the rest, which holds new, late
     and corrected snapshots, the second."""
     lib = table(spark, d, "lib")
-    store = HistoryStore(spark, scratch(spark, "history"), "tender_no", "retrievedAt", "snap_id", TENDER_ATTRIBUTES)
+    store = HistoryStore(spark, scratch(spark, "history"), "tender_no", "retrievedAt", "snap_id", tender_attributes())
     last = lib.agg(F.max("loaded_at")).first()[0]
     cut = F.lit(last) - F.expr("interval 30 days") if last is not None else F.lit(None)
     late = F.coalesce(F.col("loaded_at") > cut.cast(lib.schema["loaded_at"].dataType), F.lit(False))
