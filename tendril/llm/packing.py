@@ -113,10 +113,10 @@ def fill(items: DataFrame, key: str, size: Column, capacity: int) -> DataFrame:
     own. An empty table gives an empty result.
     """
     spark = items.sparkSession
-    sizes = staged(items.select(F.col(key), F.coalesce(size, F.lit(0)).cast("int").alias("n")), "sizes")
-    parts = sizes.where("n > 0").select(key, F.explode(F.expr(f"sequence(0, n - 1, {capacity})")).alias("start_token"), "n")
-    parts = parts.select(key, "start_token", F.least("n", F.col("start_token") + capacity).alias("end_token")).withColumn("size", F.expr("end_token - start_token"))
-    block = F.pmod(F.xxhash64(key, "start_token"), F.lit(BLOCKS)).cast("int")
+    sizes = staged(items.select(F.col(key).alias("item"), F.coalesce(size, F.lit(0)).cast("int").alias("n")), "sizes")
+    parts = sizes.where("n > 0").select("item", F.explode(F.expr(f"sequence(0, n - 1, {capacity})")).alias("start_token"), "n")
+    parts = parts.select("item", "start_token", F.least("n", F.col("start_token") + capacity).alias("end_token")).withColumn("size", F.expr("end_token - start_token"))
+    block = F.pmod(F.xxhash64("item", "start_token"), F.lit(BLOCKS)).cast("int")
     parts = parts.withColumn("block", block)
     # at most capacity x BLOCKS rows, whatever the data
     blocks = staged(parts.groupBy("size", "block").agg(F.count("*").alias("n")), "blocks")
@@ -130,10 +130,10 @@ def fill(items: DataFrame, key: str, size: Column, capacity: int) -> DataFrame:
     runs_df = spark.createDataFrame(runs, "size int, low long, high long, shift long, place int")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("size").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = blocks.select("size", "block", before.alias("before"))
-    order = Window.partitionBy("size", "block").orderBy(key, "start_token")
+    order = Window.partitionBy("size", "block").orderBy("item", "start_token")
     ranked = parts.withColumn("nth", F.row_number().over(order) - 1).join(F.broadcast(offsets), ["size", "block"])
     ranked = ranked.withColumn("nth", F.col("nth") + F.col("before"))
     placed = ranked.join(F.broadcast(runs_df), ["size"]).where("nth >= low and nth < high")
-    out = placed.select((F.col("nth") + F.col("shift")).alias("container"), key, "start_token", "end_token", "place")
-    none = sizes.where("n <= 0").select(F.lit(None).cast("long").alias("container"), key, F.lit(0).alias("start_token"), F.lit(0).alias("end_token"), F.lit(None).cast("int").alias("place"))
+    out = placed.select((F.col("nth") + F.col("shift")).alias("container"), F.col("item").alias(key), "start_token", "end_token", "place")
+    none = sizes.where("n <= 0").select(F.lit(None).cast("long").alias("container"), F.col("item").alias(key), F.lit(0).alias("start_token"), F.lit(0).alias("end_token"), F.lit(None).cast("int").alias("place"))
     return out.unionByName(none)
