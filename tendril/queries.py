@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tendril.plans.archive  # noqa: F401
 import tendril.plans.linking  # noqa: F401
 import tendril.plans.market  # noqa: F401
 import tendril.plans.problems  # noqa: F401
