@@ -48,6 +48,17 @@ def mode_of(df: DataFrame, keys: Sequence[str], value: str, name: str = "mode")
     return counts.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("_n"), F.col(value))).alias(name))
 
 
+def ranked(df: DataFrame, order: Sequence[Column], name: str = "place") -> DataFrame:
+    """The place of each row in an order over all rows, from 1, without a window over all rows in one task: ranges of the
+    order are sorted on their own, and each begins after the number of rows before it. Make the order total."""
+    sort = staged(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "ranked")
+    rows = sort.withColumns({"_part": F.shiftright("_id", 33), "_nth": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
+    # one row for each partition
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_nth") + 1).drop("_id", "_part", "_nth", "_before")
+
+
 def capped_count(df: DataFrame, most: int) -> DataFrame:
     """How many rows, but at most `most`: the scan stops there."""
     return df.select(F.lit(1).alias("one")).limit(most).agg(F.count("*").alias("n"))

@@ -57,8 +57,8 @@ def a27(s: SparkSession, d: str) -> DataFrame:
 def a29(s: SparkSession, d: str) -> DataFrame:
     """Partners for a topic: a preferred country first, then topical projects."""
     c = lines(s, d).join(suppliers(s, d).select("winner", "country"), "winner").groupBy("winner", "country").agg(F.count_distinct("id").alias("projects"), F.count_distinct(F.when(F.col("code").startswith("35"), F.col("id"))).alias("topical"), F.max("shipped").alias("latest"))
-    order = Window.orderBy(F.when(F.col("country") == "NATION_5", 0).otherwise(1), F.desc("topical"), F.desc("projects"), F.desc("latest"), "winner")
-    return c.select("winner", "topical", "projects", F.row_number().over(order).cast("long").alias("place"))
+    order = [F.when(F.col("country") == "NATION_5", 0).otherwise(1), F.desc("topical"), F.desc("projects"), F.desc("latest"), F.col("winner")]
+    return R.ranked(c, order).select("winner", "topical", "projects", "place")
 
 
 @query("f15_members_named", f"with recursive {CHAIN}, {SUP} select s.winner, live.head from sup s join live on live.id = s.winner where live.head in (select head from live l join sup m on m.winner = l.id where m.name like '%7')")

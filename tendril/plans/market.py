@@ -325,7 +325,7 @@ def l05(s: SparkSession, d: str) -> DataFrame:
 def l06(s: SparkSession, d: str) -> DataFrame:
     """Winners by value with their place, to be stored."""
     v = lines(s, d).groupBy("winner").agg(money("amount").alias("total"))
-    return v.withColumn("place", F.row_number().over(Window.orderBy(F.desc("total"), "winner")).cast("long"))
+    return R.ranked(v, [F.desc("total"), F.col("winner")])
 
 
 @query("l07_calendar", f"with {OPP} select cast(deadline as varchar) deadline, count(*) n, min(id) first_id from opp where status = 'O' group by deadline order by deadline desc limit 60")

@@ -69,3 +69,21 @@ def test_scalars(spark):
     df = spark.createDataFrame([(["35100000-1", "x 50200000 y", "35100000", "123"], "1 234,50", "Łódź, Straße!")], "c array<string>, a string, t string")
     r = df.select(S.cpv_clean(F.col("c")).alias("c"), S.amount(F.col("a")).alias("a"), S.fold(F.col("t")).alias("t"), S.amount(F.lit("1.00")).alias("p"), S.amount(F.lit("2.500.000,00")).alias("m"), S.redact(F.lit("a.b@c.pl or +48 123 456 789")).alias("r")).first()
     assert (r.c, r.a, r.t, r.p, r.m, r.r) == (["35100000", "50200000"], 1234.5, " lodz strase", None, 2500000.0, "[email] or [phone]")
+
+
+def test_ranked(spark):
+    r = random.Random(6)
+    rows = [(i, r.choice([1.0, 2.0, 3.0, None])) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, v double")
+    got = {x.id: x.place for x in R.ranked(df, [F.desc_nulls_last("v"), F.col("id")]).collect()}
+    want = sorted(rows, key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))
+    assert got == {x[0]: i + 1 for i, x in enumerate(want)}
+    assert R.ranked(df.where("false"), [F.col("id")]).count() == 0
+
+
+def test_timeline(spark):
+    from tendril.operators.timeline import amendments
+
+    rows = [(1, 1, "f", "a"), (1, 2, "f", "a"), (1, 3, "f", "b"), (1, 4, "g", "x"), (1, 5, "f", "c"), (1, 6, "f", "b"), (1, 7, "f", None), (2, 1, "f", "q"), (None, 1, "f", "z")]
+    got = sorted(amendments(spark.createDataFrame(rows, "e long, o long, field string, value string"), "e", ["o"], "field", "value").collect())
+    assert got == [(1, 1, "f", "a", "b")]
