@@ -65,12 +65,13 @@ def _notices(spark: SparkSession, d: str) -> DataFrame:
     json_text = lambda c: F.regexp_replace(F.regexp_replace(c, r'"[A-Za-z_]+"\s*:', " "), r"\\[nrtbf\"/]|\\u[0-9a-fA-F]{4}", " ")
     day = lambda c: F.datediff(F.substring(F.trim(c), 1, 10).try_cast("date"), F.lit("1970-01-01").cast("date"))
     orgs = table(spark, d, "organisation")
-    ted = table(spark, d, "ted_live_notices_2026_10")
-    description = json_text(F.get_json_object("payload", "$['description-lot']"))
-    title = json_text(F.get_json_object("payload", "$['notice-title']"))
-    name = folded(json_text(F.get_json_object("payload", "$['buyer-name']")))
-    identifier = F.regexp_extract(F.get_json_object("payload", "$['buyer-identifier']"), r"([A-Z0-9]{5,})", 1)
-    kind = F.coalesce("notice-type", F.get_json_object("payload", "$['notice-type']"), F.lit(""))
+    # one reading of the payload; what is no string comes as its JSON text
+    fields = ("description-lot", "notice-title", "buyer-name", "buyer-identifier", "notice-type")
+    ted = table(spark, d, "ted_live_notices_2026_10").withColumn("r", F.from_json("payload", ", ".join(f"`{f}` string" for f in fields)))
+    description, title = json_text(F.col("r.description-lot")), json_text(F.col("r.notice-title"))
+    name = folded(json_text(F.col("r.buyer-name")))
+    identifier = F.regexp_extract("r.buyer-identifier", r"([A-Z0-9]{5,})", 1)
+    kind = F.coalesce("notice-type", "r.notice-type", F.lit(""))
     ted = ted.select(
         (F.col("rec_id") * 2).alias("id"), "batch_no", F.concat(F.lit("t"), _number(F.col("publication-number"), 1)).alias("number"), "buyer_id", name.alias("name"), identifier.alias("identifier"),
         F.coalesce(day(F.col("publication-date")), day(F.col("dispatch-date"))).alias("day"), F.coalesce(F.nullif(folded(description), F.lit("")), folded(title)).alias("text"), (F.lower(kind) == "corr").alias("own"), F.lit("t").alias("tbl"),
