@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tendril.llm.tokens import slices
+
 WINDOW, MIN_WORDS = 12, 60
 #: Weight of bigrams against unigrams, and of seen unigrams against the uniform floor.
 BIGRAM, UNIGRAM = 0.6, 0.97
@@ -222,7 +224,9 @@ def level(spark: SparkSession, text: Column, samples: DataFrame, max_samples: in
     @F.arrow_udf(kind)
     def read(texts: pa.Array) -> pa.Array:
         scorer = _scorer(model)
-        d, words = scorer.batch(texts)
+        # slices of some megabytes of text, so that memory does not follow the batch
+        parts = [scorer.batch(t) for t in slices(texts, 8 << 20)] or [scorer.batch(texts)]
+        d, words = (np.concatenate(x) for x in zip(*parts, strict=True))
         none = (words < MIN_WORDS) | np.isnan(d)
         return pa.StructArray.from_arrays([pa.array(scorer.level(d), mask=none), pa.array(d, mask=none), pa.array(words.astype(np.int32))], names=["level", "difficulty", "words"])
 

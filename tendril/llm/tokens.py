@@ -140,7 +140,7 @@ def rank_file(vocabulary: str = "byte_bpe_50k", folder: str | None = None) -> by
         return f.read()
 
 
-def _slices(texts: pa.Array, most: int = 32 << 20):
+def slices(texts: pa.Array, most: int = 32 << 20):
     """Runs of texts of about `most` bytes, so that memory does not follow the batch."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     at = 0
@@ -157,7 +157,7 @@ def ids(spark: SparkSession, text: Column, vocabulary: str = "byte_bpe_50k", fol
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def encode(texts: pa.Array) -> pa.Array:
         e = _encoder(ranks)
-        return pa.concat_arrays([e.batch(t) for t in _slices(texts)] or [pa.array([], pa.list_(pa.int32()))])
+        return pa.concat_arrays([e.batch(t) for t in slices(texts)] or [pa.array([], pa.list_(pa.int32()))])
 
     return encode(text)
 
@@ -169,7 +169,7 @@ def count(spark: SparkSession, text: Column, vocabulary: str = "byte_bpe_50k", f
     @F.arrow_udf(T.IntegerType())
     def size(texts: pa.Array) -> pa.Array:
         e = _encoder(ranks)
-        return pa.concat_arrays([e.batch(t, count=True) for t in _slices(texts)] or [pa.array([], pa.int32())])
+        return pa.concat_arrays([e.batch(t, count=True) for t in slices(texts)] or [pa.array([], pa.int32())])
 
     return size(text)
 
