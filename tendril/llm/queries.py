@@ -69,15 +69,16 @@ def _notices(spark: SparkSession, d: str) -> DataFrame:
     fields = ("description-lot", "notice-title", "buyer-name", "buyer-identifier", "notice-type")
     ted = table(spark, d, "ted_live_notices_2026_10").withColumn("r", F.from_json("payload", ", ".join(f"`{f}` string" for f in fields)))
     description, title = json_text(F.col("r.description-lot")), json_text(F.col("r.notice-title"))
-    name = folded(json_text(F.col("r.buyer-name")))
-    identifier = F.regexp_extract("r.buyer-identifier", r"([A-Z0-9]{5,})", 1)
+    unknown = lambda c: F.when(F.col("buyer_id").isNull(), c).otherwise(F.lit(""))
+    name = unknown(folded(json_text(F.col("r.buyer-name"))))
+    identifier = unknown(F.regexp_extract("r.buyer-identifier", r"([A-Z0-9]{5,})", 1))
     kind = F.coalesce("notice-type", "r.notice-type", F.lit(""))
     ted = ted.select(
         (F.col("rec_id") * 2).alias("id"), "batch_no", F.concat(F.lit("t"), _number(F.col("publication-number"), 1)).alias("number"), "buyer_id", name.alias("name"), identifier.alias("identifier"),
         F.coalesce(day(F.col("publication-date")), day(F.col("dispatch-date"))).alias("day"), F.coalesce(F.nullif(folded(description), F.lit("")), folded(title)).alias("text"), (F.lower(kind) == "corr").alias("own"), F.lit("t").alias("tbl"),
     )
     boamp = table(spark, d, "boamp_notices").select(
-        (F.col("rec_id") * 2 + 1).alias("id"), "batch_no", F.concat(F.lit("b"), _number(F.coalesce(F.nullif(F.trim("idweb"), F.lit("")), "id"), 1)).alias("number"), "buyer_id", folded(F.col("nomacheteur")).alias("name"), F.lit("").alias("identifier"),
+        (F.col("rec_id") * 2 + 1).alias("id"), "batch_no", F.concat(F.lit("b"), _number(F.coalesce(F.nullif(F.trim("idweb"), F.lit("")), "id"), 1)).alias("number"), "buyer_id", unknown(folded(F.col("nomacheteur"))).alias("name"), F.lit("").alias("identifier"),
         day(F.col("dateparution")).alias("day"), folded(F.concat_ws(" ", "objet", json_text(F.col("donnees")))).alias("text"), (F.upper(F.trim(F.coalesce("nature", F.lit("")))) == "RECTIFICATIF").alias("own"), F.lit("b").alias("tbl"),
     )
     both = ted.unionByName(boamp)
