@@ -127,22 +127,30 @@ def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
     return scored.select(F.col("p").alias("id_a"), F.col("q").alias("id_b"), F.round("confidence", 4).alias("confidence"))
 
 
+def _personal_texts(spark: SparkSession, d: str) -> DataFrame:
+    """(key, text) of both tables in one pass; the table is the lowest bit of the key."""
+    orders = table(spark, d, "ezamowienia_status_cases").select("rec_id", F.col("orderObject").alias("text"), F.lit(0).alias("t"))
+    names = table(spark, d, "supplier_dedupe").select(F.col("supplier_id").alias("rec_id"), F.col("name").alias("text"), F.lit(1).alias("t"))
+    return orders.unionByName(names).select((F.col("rec_id") * 2 + F.col("t")).alias("key"), "text")
+
+
+def _personal_row() -> list:
+    tbl = F.when(F.col("key") % 2 == 0, "ezamowienia_status_cases").otherwise("supplier_dedupe")
+    return [tbl.alias("tbl"), F.shiftright("key", 1).alias("rec_id")]
+
+
 @query("p5_found")
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from tendril.llm import pii
 
-    orders = table(spark, d, "ezamowienia_status_cases").select("rec_id", F.col("orderObject").alias("text"), F.lit(0).alias("t"))
-    names = table(spark, d, "supplier_dedupe").select(F.col("supplier_id").alias("rec_id"), F.col("name").alias("text"), F.lit(1).alias("t"))
-    # both tables in one pass; the table is the lowest bit of the key
-    both = orders.unionByName(names).select((F.col("rec_id") * 2 + F.col("t")).alias("key"), "text")
-    found = pii.find(both, "key", "text")
-    tbl = F.when(F.col("key") % 2 == 0, "ezamowienia_status_cases").otherwise("supplier_dedupe")
-    return found.select(tbl.alias("tbl"), F.shiftright("key", 1).alias("rec_id"), "kind", "start_at", "end_at")
+    found = pii.find(_personal_texts(spark, d), "key", "text")
+    return found.select(*_personal_row(), "kind", "start_at", "end_at")
 
 
 @query("p5_masked")
 def p5_masked(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of both tables with its masked text; null stays null."""
     from tendril.llm import pii
 
-    rows = table(spark, d, "ezamowienia_status_cases").select("rec_id", "orderObject")
-    return rows.select("rec_id", pii.mask(rows, F.col("orderObject")).alias("text"))
+    rows = _personal_texts(spark, d)
+    return rows.select(*_personal_row(), pii.mask(rows, F.col("text")).alias("text"))
