@@ -1,15 +1,17 @@
 """Whole results of the named queries of this subpackage."""
 
 import os
+import random
 
 import pytest
 
-from tendril.llm import catalog, pii
+from tendril.llm import catalog, matching, pii
+from tendril.llm.company_names import parse
 
 SF = "/root/testdata/sf0.001"
-pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_p5_masked_covers_both_tables(spark):
     """Every row of both tables, with the placeholders at the places that p5_found gives."""
     queries = catalog.load()[0]
@@ -23,3 +25,25 @@ def test_p5_masked_covers_both_tables(spark):
     rows = queries["p5_masked"](spark, SF).collect()
     assert sorted(((r.tbl, r.rec_id), r.text) for r in rows) == want
     assert {k[0] for k, t in want if t and t != texts[k]} == {"ezamowienia_status_cases", "supplier_dedupe"}
+
+
+def test_p1_number_with_many_spellings_keeps_its_rows(spark):
+    """A number of one company with more than MOST_NAMES spellings still links a name beyond the radius; one stated by
+    as many companies links none of them."""
+    r = random.Random(7)
+    name = "Verbastulin Okramedu"
+    spellings = {name}
+    while len(spellings) < matching.MOST_NAMES + 40:
+        k = r.choice([i for i, c in enumerate(name) if c.islower()])
+        spellings.add(name[:k] + r.choice("bdfgjkmpvz") + name[k + 1 :])
+    far = "Verxostulyn Okwamadu"
+    bits = lambda a, b: sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(matching.name_vector(parse(a)[0]), matching.name_vector(parse(b)[0]), strict=True))
+    assert min(bits(far, s) for s in spellings) > matching.RADIUS
+    rows = [(i, s, ["112233441"], "FR", None) for i, s in enumerate([*sorted(spellings), far])]
+    others = {"".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(6)).title() for _ in range(2 * matching.MOST_NAMES)}
+    rows += [(1000 + i, s, ["556677889"], "FR", None) for i, s in enumerate(sorted(others))]
+    df = spark.createDataFrame(rows, "sid long, name string, numbers array<string>, country string, city string")
+    scored, groups, member = matching.matches(df, "sid", "name", "numbers", "country", "city")
+    n = len(spellings) + 1
+    assert {(x.id_a, x.id_b) for x in matching.pairs_of_groups(groups, member).collect()} == {(i, j) for i in range(n) for j in range(i + 1, n)}
+    assert scored.where("p >= 1000").count() < len(others)  # not all pairs of them were compared
