@@ -301,6 +301,13 @@ def l01(s: SparkSession, d: str) -> DataFrame:
     return opportunities(s, d).orderBy(F.asc_nulls_last("deadline"), F.desc("amount"), "id").limit(50).select("id", F.col("deadline").cast("string").alias("deadline"), "amount")
 
 
+@query("l01_places", f"with {OPP} select id, cast(deadline as varchar) deadline, amount, row_number() over (order by deadline asc nulls last, amount desc, id) place from opp")
+def l01_places(s: SparkSession, d: str) -> DataFrame:
+    """Every notice with its place in the order in which they close."""
+    rows = R.ranked(opportunities(s, d).select("id", "deadline", "amount"), [F.asc_nulls_last("deadline"), F.desc("amount"), F.col("id")])
+    return rows.select("id", F.col("deadline").cast("string").alias("deadline"), "amount", "place")
+
+
 @query("l03_two_part", f"with {OPP} select id, case when status = 'O' then 0 else 1 end part from opp order by part, case when status = 'O' then deadline end asc, case when status <> 'O' then deadline end desc, id limit 40 offset 7300")
 def l03(s: SparkSession, d: str) -> DataFrame:
     """A page that may span the open part (soonest first) and the rest (latest first)."""
