@@ -90,17 +90,23 @@ def _notices(spark: SparkSession, d: str) -> DataFrame:
     return both.withColumn("block", F.concat("tbl", buyer)).select("id", "batch_no", "number", "block", "day", "text", "own")
 
 
+#: The last batch_no of each update but the last: a backlog and then ever smaller deliveries, so that runs are merged
+#: between and a later update looks up merged ones.
+UPDATES = (21, 31, 36, 39)
+
+
 @query("p6_found")
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """Deliveries are taken in as three updates of the index, the way a backlog and two later batches come."""
+    """Deliveries are taken in as updates of the index; rows without batch_no come with the first."""
     from tendril.llm.forest import new_forest
 
     notices = _notices(spark, d)
     index = new_forest(spark)
     out = None
-    for low, high in ((None, 20), (20, 35), (35, None)):
-        part = notices.where(F.coalesce("batch_no", F.lit(0)) > (low if low is not None else -1))
-        repeats = index.ingest(part if high is None else part.where(F.coalesce("batch_no", F.lit(0)) <= high))
+    batch = F.coalesce("batch_no", F.lit(UPDATES[0]))
+    for low, high in zip((None, *UPDATES), (*UPDATES, None), strict=True):
+        part = notices if low is None else notices.where(batch > low)
+        repeats = index.ingest(part if high is None else part.where(batch <= high))
         out = repeats if out is None else out.unionByName(repeats)
     tbl = F.when(F.col("id") % 2 == 0, "ted_live_notices_2026_10").otherwise("boamp_notices")
     return out.select(tbl.alias("tbl"), F.shiftright("first", 1).alias("first_id"), F.shiftright("id", 1).alias("rec_id"))
