@@ -1,10 +1,12 @@
 """Reading level of texts from interpolated n-gram models of texts of known level.
 
 For every language and level a word bigram model, interpolated with its unigrams and a uniform floor, is trained on the
-samples. A text is read in windows of WINDOW words. The surprisal of a window under each model gives the probability of
-each model, and so an expected level; the mean over all windows of the whole text is its difficulty. Languages compete
-in each window, so a wrong or missing language tag does not matter. Held-out difficulties of the samples (each scored by
-models that have not seen it) and their levels are joined by isotonic regression, which maps difficulty to level.
+samples. The whole text is read, in windows of WINDOW words; the surprisals of its windows under each model are its
+surprisal distributions, of which the mean of each and the deviation under the nearest model are kept. The language is
+that of the model with the least mean, so a wrong or missing tag does not matter. The difficulty counts the steps of the
+scale that lie below the text: a step between two levels counts by how much less the models above it are surprised than
+those below it. Difficulties of held-out samples (each scored by models that have not seen it) and their levels are
+joined by isotonic regression, which maps difficulty to level.
 
 Words are compared after repair of doubly encoded characters, without markup, invisible characters, case and accents.
 A text of fewer than MIN_WORDS words of running text (tokens of letters only) has no level: null, empty and blank texts,
@@ -28,6 +30,8 @@ from pyspark.sql import types as T
 from tendril.llm.tokens import slices
 
 WINDOW, MIN_WORDS = 12, 60
+#: How soon a difference of mean surprisal (nats a word) counts as a whole step.
+SHARPNESS = 2.0
 #: Weight of bigrams against unigrams, and of seen unigrams against the uniform floor.
 BIGRAM, UNIGRAM = 0.6, 0.97
 _MARK = re.compile(r"<[^<>]*>|</?\w+|&[a-zA-Z]+;|&#\d+;")
@@ -75,6 +79,7 @@ class Model:
     pairs: np.ndarray  # sorted keys of seen pairs
     pair: np.ndarray  # (pairs, models)
     levels: np.ndarray  # (models,)
+    languages: list[str]  # of the models
     steps: tuple[list[float], list[float]] = ((), ())  # isotonic: difficulty from -> level
 
 
@@ -112,7 +117,7 @@ def train(samples: list[tuple[str, int, str]]) -> Model:
         seen = np.array([bi.get(k, 0) for k in pairs.tolist()], float)
         pair[:, m] = np.log(weight[first] * seen / np.maximum(1, uni[first]) + (1 - weight[first]) * p[second])
     f = np.float32
-    return Model(vocabulary, unigram.astype(f), context.astype(f), pairs, pair.astype(f), np.array([c[1] for c in classes], f))
+    return Model(vocabulary, unigram.astype(f), context.astype(f), pairs, pair.astype(f), np.array([c[1] for c in classes], f), [c[0] for c in classes])
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[list[float], list[float]]:
@@ -140,8 +145,9 @@ class Scorer:
 
         self.known = known
 
-    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Difficulty (nan for a text without words) and number of running words of each text."""
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Difficulty (nan for a text without words), number of running words, and mean and deviation over windows of the
+        surprisal under the nearest model, of each text."""
         m = self.m
         n = len(texts)
         lists = pc.utf8_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
@@ -157,7 +163,7 @@ class Scorer:
         keep = code >= 0
         code, doc = code[keep], doc[keep]
         if not len(code):
-            return np.full(n, np.nan), words
+            return np.full(n, np.nan), words, np.full((n, 2), np.nan)
         nth = np.arange(len(doc)) - np.searchsorted(doc, doc, side="left")
         window = (np.diff(doc, prepend=doc[0]) != 0) | (nth % WINDOW == 0)
         window[0] = True
@@ -177,14 +183,37 @@ class Scorer:
             h = hit[lo:hi]
             v[h] = m.pair[at[lo:hi][h]]
             sums[a:b] = np.add.reduceat(v, start[a:b] - lo, axis=0)
-        sums -= sums.max(axis=1, keepdims=True)
-        np.exp(sums, out=sums)
-        level = (sums @ m.levels.astype(np.float64)) / sums.sum(axis=1)
         length = np.diff(ends)
         owner = doc[start]
-        weight = np.bincount(owner, weights=length, minlength=n)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            return np.bincount(owner, weights=level * length, minlength=n) / weight, words
+        read, at = np.unique(owner, return_index=True)
+        total = np.add.reduceat(length, at)
+        mean = -np.add.reduceat(sums, at, axis=0) / total[:, None]
+        near = mean.argmin(axis=1)
+        own = np.repeat(near, np.diff(np.append(at, len(start))))
+        each = -sums[np.arange(len(start)), own] / length
+        centre = mean[np.arange(len(read)), near]
+        spread = np.sqrt(np.maximum(0, np.add.reduceat(each**2 * length, at) / total - centre**2))
+        out, about = np.full(n, np.nan), np.full((n, 2), np.nan)
+        out[read] = self.difficulty(mean, near)
+        about[read] = np.stack([centre, spread], axis=1)
+        return out, words, about
+
+    def difficulty(self, mean: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """Lowest level, plus for each step to the next one how far the text is beyond it, of mean surprisals (texts,
+        models) and the nearest models."""
+        languages = np.array(self.m.languages)
+        out = np.zeros(len(mean))
+        for language in set(self.m.languages):
+            of = languages[near] == language
+            cols = np.flatnonzero(languages == language)
+            cols = cols[np.argsort(self.m.levels[cols], kind="stable")]
+            x, levels = mean[of][:, cols], self.m.levels[cols]
+            d = np.full(len(x), float(levels[0]))
+            for k in range(1, len(cols)):
+                gain = x[:, :k].min(axis=1) - x[:, k:].min(axis=1)
+                d += (levels[k] - levels[k - 1]) / (1 + np.exp(-SHARPNESS * gain))
+            out[of] = d
+        return out
 
     def level(self, difficulty: np.ndarray) -> np.ndarray:
         """The level on the scale of the samples."""
@@ -203,7 +232,7 @@ def fit(samples: list[tuple[str, int, str]], folds: int = 8) -> Model:
         held = [s for i, s in enumerate(samples) if i % folds == k]
         rest = [s for i, s in enumerate(samples) if i % folds != k]
         if held and rest:
-            d, _ = Scorer(train(rest)).batch(pa.array([t for _, _, t in held]))
+            d, _, _ = Scorer(train(rest)).batch(pa.array([t for _, _, t in held]))
             x += d.tolist()
             y += [float(level) for _, level, _ in held]
     model = train(samples)
@@ -214,23 +243,23 @@ def fit(samples: list[tuple[str, int, str]], folds: int = 8) -> Model:
 
 
 def level(spark: SparkSession, text: Column, samples: DataFrame, max_samples: int = 20_000) -> Column:
-    """Struct column (level int 1.., difficulty double, words int) of a text column; level and difficulty are null for
-    texts of fewer than MIN_WORDS running words. The models are fitted on at most max_samples rows of (lang, level,
+    """Struct column (level int 1.., difficulty, surprisal, spread double, words int) of a text column; all but words are
+    null for texts of fewer than MIN_WORDS running words. A text is read once, also where a filter uses the result. The models are fitted on at most max_samples rows of (lang, level,
     text) samples; the table here has 128."""
     rows = samples.select("lang", "level", "text").where("lang is not null and level is not null and text is not null").limit(max_samples).collect()
     model = spark.sparkContext.broadcast(fit([(r.lang, r.level, r.text) for r in rows]))
-    kind = T.StructType([T.StructField("level", T.IntegerType()), T.StructField("difficulty", T.DoubleType()), T.StructField("words", T.IntegerType())])
+    kind = T.StructType([T.StructField("level", T.IntegerType()), T.StructField("difficulty", T.DoubleType()), T.StructField("surprisal", T.DoubleType()), T.StructField("spread", T.DoubleType()), T.StructField("words", T.IntegerType())])
 
     @F.arrow_udf(kind)
     def read(texts: pa.Array) -> pa.Array:
         scorer = _scorer(model)
         # slices of some megabytes of text, so that memory does not follow the batch
         parts = [scorer.batch(t) for t in slices(texts, 8 << 20)] or [scorer.batch(texts)]
-        d, words = (np.concatenate(x) for x in zip(*parts, strict=True))
+        d, words, about = (np.concatenate(x) for x in zip(*parts, strict=True))
         none = (words < MIN_WORDS) | np.isnan(d)
-        return pa.StructArray.from_arrays([pa.array(scorer.level(d), mask=none), pa.array(d, mask=none), pa.array(words.astype(np.int32))], names=["level", "difficulty", "words"])
+        return pa.StructArray.from_arrays([pa.array(scorer.level(d), mask=none), pa.array(d, mask=none), *[pa.array(about[:, k], mask=none) for k in (0, 1)], pa.array(words.astype(np.int32))], names=["level", "difficulty", "surprisal", "spread", "words"])
 
-    return read(text)
+    return read.asNondeterministic()(text)  # or a filter on the result would run it once more
 
 
 _SCORER: dict[int, Scorer] = {}

@@ -1,9 +1,9 @@
 """Encoding of texts with a byte-level BPE rank file, and its inverse.
 
-A text is cut before every single space that follows and precedes something that is no space. The tokenizer's own
-pattern starts a new piece at exactly these places, so the parts can be encoded on their own. Parts repeat as words do:
+A text is cut before every space whose neighbours are both no white space of any kind. The tokenizer's own pattern starts
+a new piece at exactly these places, so the parts can be encoded on their own. Parts repeat as words do:
 a batch is turned into a dictionary of distinct parts, only these go through tiktoken, and the ids of all texts are put
-together from them with array operations. Texts with runs of spaces, or spaces at an end, are encoded whole; runs of
+together from them with array operations. Texts with a space beside other white space, or at an end, are encoded whole; runs of
 white space long enough to exhaust the pattern engine are encoded as the one piece that the pattern makes of them.
 
 Null and empty texts give the empty list. Ids are those of `encode_ordinary`: the strings of special tokens are
@@ -80,9 +80,13 @@ class Encoder:
         parts = lists.flatten().dictionary_encode()
         off = off - off[0]
         index, words = np.asarray(parts.indices, np.int64), parts.dictionary.to_pylist()
-        blank = words.index("") if "" in words else -1
-        # texts that have an empty part are encoded whole
-        hit = np.concatenate([[0], np.cumsum(index == blank)])
+        # texts with white space beside a space are encoded whole
+        begins = np.array([not w or w[0].isspace() for w in words], bool)
+        ends = np.array([not w or w[-1].isspace() for w in words], bool)
+        inner = np.ones(len(index), bool)  # parts with a space before them
+        inner[off[:-1]] = False
+        before = np.concatenate([inner[1:], [False]]) if len(inner) else inner  # parts with a space behind them
+        hit = np.concatenate([[0], np.cumsum(begins[index] & inner | ends[index] & before)])
         whole = (hit[off[1:]] > hit[off[:-1]]).nonzero()[0]
         known = len(words)
         head = np.zeros(len(index), bool)

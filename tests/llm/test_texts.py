@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tendril.llm import packing, pii, pii_corpus, pii_model, pii_train, reading, tokens
 
-ODD = [None, "", " ", "  ", "a  b", " a", "a ", "\n\n x", "a​ b", "Łódź 12,50 zł 's don't", "<|endoftext|>", "😀 é", "x" * 30_000, " " * 20_000 + "y", "word " * 20_000, "a\n" + " " * 5000 + "b"]
+ODD = [None, "", " ", "  ", "a  b", " a", "a ", "\n\n x", "a​ b", "Łódź 12,50 zł 's don't", "<|endoftext|>", "😀 é", "x" * 30_000, " " * 20_000 + "y", "word " * 20_000, "a\n" + " " * 5000 + "b", "a \xa0 \xa0", "\n \xa0 \xa0", "\t \xa0 \xa0"]
 
 
 @pytest.fixture(scope="module")
@@ -20,8 +20,8 @@ def encoder():
 
 def test_ids_equal_the_library_s(encoder):
     r = random.Random(1)
-    parts = [" ", "  ", "\n", "\t", "a", "Bc", "'s", "12", "ł", ".", "—", "😀", " "]
-    texts = ODD + ["".join(r.choice(parts) for _ in range(r.randint(0, 20))) for _ in range(5000)]
+    parts = [" ", "  ", "\n", "\t", "\xa0", "\u2003", "\x0b", "\x1c", "\x85", "a", "Bc", "'s", "12", "ł", ".", "—", "😀", " "]
+    texts = ODD + ["".join(r.choice(parts) for _ in range(r.randint(0, 20))) for _ in range(20000)]
     got = encoder.batch(pa.array(texts)).to_pylist()
     assert got == [encoder.bpe.encode_ordinary(t or "") for t in texts]
     assert encoder.batch(pa.array(texts), count=True).to_pylist() == [len(x) for x in got]
@@ -123,12 +123,21 @@ def test_levels(spark):
         reading.fit([])
 
 
+def test_level_reads_a_text_once(spark):
+    """A filter on the result must not run the models again."""
+    df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    s = spark.createDataFrame([(lang, level, t) for lang, level, t in samples()], "lang string, level int, text string")
+    read = df.select("doc_id", reading.level(spark, F.col("text"), s).alias("r")).where("r.level is not null").select("doc_id", F.col("r.level").alias("level"))
+    assert read._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_held_out_levels():
     known = samples()
     model = reading.fit([x for i, x in enumerate(known) if i % 8 < 6])
     held = [x for i, x in enumerate(known) if i % 8 >= 6]
     scorer = reading.Scorer(model)
-    d, _ = scorer.batch(pa.array([t for *_, t in held]))
+    d, _, about = scorer.batch(pa.array([t for *_, t in held]))
+    assert (about > 0).all()
     assert scorer.level(d).tolist() == [level for _, level, _ in held]
 
 
