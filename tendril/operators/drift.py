@@ -5,14 +5,17 @@ their types, nesting and a small sketch of the shapes of their values. Each file
 similarity flooding: the schema graphs of both have nodes for fields, their types, nested parts and name words; pairs of
 nodes reachable by edges of the same label form the connectivity graph; similarities start from names, value sketches
 and the agreement of both fields on records that both files hold, and flow along that graph to a fixpoint. Fields of one
-name correspond; of the others, correspondences are taken in order of similarity, one to one, and kept if the values
-bear them out. A record's fields are then named by following the correspondences back, cast and put together.
+name correspond. Of the others, the converged similarity decides: measured by what fields of one name reach in the same
+graph, pairs of LEAST or more are taken one to one, the greatest first; other values on shared records veto a pair. A record's fields are then named by following
+the correspondences back, cast and put together.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import statistics
+import uuid
 from collections import defaultdict
 
 import pandas as pd
@@ -23,6 +26,11 @@ from tendril.session import staged
 
 #: Sketch size: value shapes are hashed into so many bits.
 BITS = 64
+#: Share of names in the start similarity of two fields; the converged similarity that a correspondence needs, that of
+#: fields of one name being 1 (pairs that correspond reach 0.25 or more on the test tables, others 0.15 at most).
+NAMES, LEAST = 0.3, 0.2
+#: A field that both graphs have, to measure by where no other field keeps its name.
+_ANCHOR = "f:\0"
 
 
 def cells(records: DataFrame, keep: list[str], payload: str) -> DataFrame:
@@ -30,13 +38,13 @@ def cells(records: DataFrame, keep: list[str], payload: str) -> DataFrame:
     (string, number, boolean, list, object, null) and `text`, the value without what differs between ways of writing it
     (a single value in a list or a wrapper, a number in quotes). Broken JSON and other than objects have no cells."""
     parsed = records.select(*keep, F.try_parse_json(payload).alias("v")).where("v is not null and schema_of_variant(v) like 'OBJECT%'")
-    parsed.createOrReplaceTempView("tendril_parsed")
-    spark = records.sparkSession
+    spark, view = records.sparkSession, f"tendril_{uuid.uuid4().hex}"
+    parsed.createOrReplaceTempView(view)
     try:
         # outer, for a record of no fields must not fail; key is null then
-        rows = spark.sql(f"select {', '.join(f'p.`{k}`' for k in keep)}, e.key as field, schema_of_variant(e.value) as schema, to_json(e.value) as json from tendril_parsed p, lateral variant_explode(p.v) e")
+        rows = spark.sql(f"select {', '.join(f'p.`{k}`' for k in keep)}, e.key as field, schema_of_variant(e.value) as schema, to_json(e.value) as json from {view} p, lateral variant_explode(p.v) e")
     finally:
-        spark.catalog.dropTempView("tendril_parsed")
+        spark.catalog.dropTempView(view)
     s = F.col("schema")
     kind = F.when(s == "VOID", "null").when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").when(s.startswith("ARRAY"), "list").when(s.startswith("OBJECT"), "object").when(s.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)"), "number").otherwise("string")
     bare = F.regexp_replace(F.regexp_replace("json", r'[\[\]{}"\\\s]', ""), "^value:", "")
@@ -45,9 +53,12 @@ def cells(records: DataFrame, keep: list[str], payload: str) -> DataFrame:
     return rows.select(*keep, "field", "schema", kind.alias("kind"), F.when(kind != "null", text).alias("text"), "json")
 
 
+def _words(name: str) -> list[str]:
+    return re.findall(r"[^\W_]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower())
+
+
 def _grams(name: str) -> set[str]:
-    words = " ".join(re.findall(r"[^\W_]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower()))
-    padded = f" {words} "
+    padded = f" {' '.join(_words(name))} "
     return {padded[i : i + 3] for i in range(len(padded) - 2)} or {padded}
 
 
@@ -110,69 +121,66 @@ def _sketch(a: int, b: int) -> float:
     return (a & b).bit_count() / max(1, (a | b).bit_count())
 
 
-def match_fields(old: pd.DataFrame, new: pd.DataFrame, agree: dict[tuple[str, str], tuple[int, int, int]]) -> list[tuple[str, str]]:
-    """Renamings (old name, new name) between two files' profiles (field, kind, schema, sketch).
+def _contradicted(both: int, equal: int) -> bool:
+    return equal < 0.75 * both
 
-    agree has, for pairs of a removed and an added field, on how many records of both files both are stated, on how many
-    they are equal, and how many different values these are.
-    """
+
+def evidence(kind: str, like: float, agree: tuple[int, int, int]) -> float:
+    """What the values say for two fields of one kind: like is the similarity of their sketches, agree on how many records
+    of both files both are stated, on how many they are equal, and how many different values these are. Fields that
+    differ on a quarter of the shared records are not one; few different values may agree by chance."""
+    both, equal, values = agree
+    if not both:
+        return 0.5 * like if kind != "boolean" else 0.0
+    if _contradicted(both, equal):
+        return 0.0
+    sure = 1 - 0.5 ** (equal / 3 if kind == "boolean" else values)
+    return equal / both * (sure + (1 - sure) * 0.5 * like)
+
+
+def match_fields(old: pd.DataFrame, new: pd.DataFrame, agree: dict[tuple[str, str], tuple[int, int, int]]) -> list[tuple[str, str]]:
+    """Renamings (old name, new name) between two files' profiles (field, kind, schema, sketch); agree is as evidence()
+    takes it, for pairs of a removed and an added field."""
     x, y = {r.field: r for r in old.itertuples()}, {r.field: r for r in new.itertuples()}
     gone, come = [f for f in x if f not in y], [f for f in y if f not in x]
     if not gone or not come:
         return []
 
     def graph(side: dict) -> list[tuple[str, str, str]]:
-        edges = []
+        edges = [("file", "field", _ANCHOR), *((_ANCHOR, "type", f"t:{k}") for k in sorted({r.kind for r in side.values()}))]
         for f, r in side.items():
             edges += [("file", "field", f"f:{f}"), (f"f:{f}", "type", f"t:{r.kind}")]
             edges += [(f"f:{f}", "part", f"p:{p}") for p in _parts(r.schema)]
-            edges += [(f"f:{f}", "word", f"w:{w}") for w in re.findall(r"[^\W_]+", f.lower())]
+            edges += [(f"f:{f}", "word", f"w:{w}") for w in _words(f)]
         return edges
 
-    start: dict[tuple[str, str], float] = {("file", "file"): 1.0}
+    start: dict[tuple[str, str], float] = {("file", "file"): 1.0, (_ANCHOR, _ANCHOR): 1.0}
     for f, r in x.items():
         for g, q in y.items():
             if f == g:
                 start[f"f:{f}", f"f:{g}"] = 1.0
             elif f in gone and g in come:
-                both, equal, _ = agree.get((f, g), (0, 0, 0))
-                bears = equal / both if both else 0.5 * _sketch(int(r.sketch), int(q.sketch))
-                start[f"f:{f}", f"f:{g}"] = 0.3 * name_similarity(f, g) + 0.7 * bears
+                bears = evidence(r.kind, _sketch(int(r.sketch), int(q.sketch)), agree.get((f, g), (0, 0, 0))) if r.kind == q.kind else 0.0
+                start[f"f:{f}", f"f:{g}"] = NAMES * name_similarity(f, g) + (1 - NAMES) * bears
             for p in _parts(r.schema):
                 for s in _parts(q.schema):
                     start[f"p:{p}", f"p:{s}"] = name_similarity(p, s)
-        for g in y.values():
-            start[f"t:{r.kind}", f"t:{g.kind}"] = 1.0 if r.kind == g.kind else 0.0
-    for a in {w for f in x for w in re.findall(r"[^\W_]+", f.lower())}:
-        for b in {w for f in y for w in re.findall(r"[^\W_]+", f.lower())}:
+            start[f"t:{r.kind}", f"t:{q.kind}"] = float(r.kind == q.kind)
+    for a in {w for f in x for w in _words(f)}:
+        for b in {w for f in y for w in _words(f)}:
             start[f"w:{a}", f"w:{b}"] = name_similarity(a, b)
     sigma = flood(graph(x), graph(y), start)
-    out, used = [], set()
-    pairs = sorted(((sigma.get((f"f:{f}", f"f:{g}"), 0.0), f, g) for f in gone for g in come), key=lambda t: (-t[0], t[1], t[2]))
-    # the values decide first where they can: a pair that agrees on shared records goes before one that only looks alike
-    for _, f, g in sorted(pairs, key=lambda t: -_borne(agree.get((t[1], t[2]), (0, 0, 0)))):
-        if f in used or g in used:
-            continue
-        both, equal, values = agree.get((f, g), (0, 0, 0))
-        same = x[f].kind == y[g].kind
-        if both:
-            chance = x[f].kind == "boolean" and equal < 6 or values < 2 and equal < 3
-            likely = name_similarity(f, g) > 0.2 or _sketch(int(x[f].sketch), int(y[g].sketch)) > 0.5
-            ok = equal / both >= 0.75 and same and (likely or not chance)
-        else:  # no shared record states both: names, or values of quite the same shapes
-            ok = same and (name_similarity(f, g) >= 0.5 or (x[f].kind != "boolean" and _sketch(int(x[f].sketch), int(y[g].sketch)) >= 0.7 and name_similarity(f, g) > 0.15))
-        if ok:
-            out.append((f, g))
-            used |= {f, g}
-    return out
-
-
-def _borne(agree: tuple[int, int, int]) -> int:
-    """3: well borne out by values, 2: somewhat, 1: unknown, 0: contradicted."""
-    both, equal, values = agree
-    if not both:
-        return 1
-    return 0 if equal / both < 0.75 else 3 if values >= 2 else 2
+    kept = [sigma.get((f"f:{f}", f"f:{f}"), 0.0) for f in x if f in y] or [sigma.get((_ANCHOR, _ANCHOR), 0.0)]
+    whole = statistics.median(kept) or 1.0
+    # another type, or other values on shared records, is another field whatever surrounds it
+    open_ = [(f, g) for f in gone for g in come if x[f].kind == y[g].kind and not _contradicted(*agree.get((f, g), (0, 0, 0))[:2])]
+    # nor does structure alone make two fields one
+    scores = ((sigma.get((f"f:{f}", f"f:{g}"), 0.0) / whole, f, g) for f, g in open_ if start[f"f:{f}", f"f:{g}"] > 0)
+    out: dict[str, str] = {}
+    for score, f, g in sorted(scores, key=lambda t: (-t[0], t[1], t[2])):
+        if score >= LEAST and f not in out and g not in out.values():
+            out[f] = g
+    return list(out.items())
 
 
 def report(records: DataFrame, feed: str, file: str, date: str, key: Column, payload: str) -> DataFrame:
@@ -225,6 +233,8 @@ def report(records: DataFrame, feed: str, file: str, date: str, key: Column, pay
                 rows += [(r.feed, r.prev, r.file, a, b) for a, b in match_fields(old, new, told)]
             yield pd.DataFrame(rows, columns=["feed", "prev", "file", "field", "new_field"])
 
+    # a row is few bytes and much work
+    jobs = jobs.repartition(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), "feed", "file")
     renamed = staged(jobs.mapInPandas(run, "feed string, prev string, file string, field string, new_field string"), "renamed")
     at = ["feed", "file"]
     out = renamed.select(*at, F.lit("renamed").alias("change_kind"), "field", "new_field")

@@ -2,6 +2,7 @@
 
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,3 +64,20 @@ def test_values_written_otherwise_are_no_change(spark):
 def test_nothing_to_compare(spark, files):
     df = frame(spark, files) if files else spark.createDataFrame([], SCHEMA)
     assert changes(df) == []
+
+
+def test_flooding_decides(spark, monkeypatch):
+    a = [{"id": str(i), "objet": f"text {i}", "place": f"p{i}"} for i in range(8)]
+    b = [{"id": str(i), "intitule": f"text {i}", "lieu": f"p{i}"} for i in range(8)]
+    profile = lambda rows: pd.DataFrame([(f, "string", "STRING", 5) for f in rows[0]], columns=["field", "kind", "schema", "sketch"])
+    agree = {("objet", "intitule"): (8, 8, 8), ("place", "lieu"): (8, 8, 8), ("objet", "lieu"): (8, 0, 0), ("place", "intitule"): (8, 0, 0)}
+    assert sorted(D.match_fields(profile(a), profile(b), agree)) == [("objet", "intitule"), ("place", "lieu")]
+    monkeypatch.setattr(D, "flood", lambda *_: {})
+    assert D.match_fields(profile(a), profile(b), agree) == []
+
+
+def test_fields_without_a_neighbour_that_stays():
+    one = lambda f, sketch: pd.DataFrame([(f, "string", "STRING", sketch)], columns=["field", "kind", "schema", "sketch"])
+    assert D.match_fields(one("objet", 3), one("intitule", 3), {("objet", "intitule"): (5, 5, 5)}) == [("objet", "intitule")]
+    assert D.match_fields(one("objet", 3), one("intitule", 12), {("objet", "intitule"): (5, 1, 1)}) == []
+    assert D.match_fields(one("objet", 3), one("intitule", 12), {}) == []
