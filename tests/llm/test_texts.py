@@ -143,7 +143,8 @@ def test_held_out_levels():
 
 def test_gradients():
     p = {k: v for k, v in pii_model.init(6).items()}
-    ids, mask, tags = next(pii_train.batches(pii_corpus.Maker(2)))
+    maker = pii_corpus.Maker(2)
+    ids, mask, tags = pii_train.batch_of([maker.write() for _ in range(12)])
     ids, mask, tags = ids[:20, :3], mask[:20, :3], np.where(mask, tags, 0)[:20, :3]
     _, g = pii_model.loss_and_grads(p, ids, mask, tags)
     for name, at in (("hf", (1, 3)), ("hb", (2, 15)), ("o", (3, 0)), ("t", (0, 1)), ("ob", (0,)), ("xb", (int(ids[4, 0]), 7))):
