@@ -6,6 +6,7 @@ import tendril.plans.archive  # noqa: F401
 import tendril.plans.linking  # noqa: F401
 import tendril.plans.market  # noqa: F401
 import tendril.plans.problems  # noqa: F401
+import tendril.plans.registers  # noqa: F401
 import tendril.plans.texts  # noqa: F401
 from tendril.catalog import ORACLE, QUERIES
 
