@@ -7,16 +7,29 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters and what they fold to.
-FOLD_FROM = "àáâãäåāăąçćčďđèéêëēęěìíîïīłľñńňòóôõöøőŕřśšșşťțţùúûüūůűýÿźżžß"
-FOLD_TO = "aaaaaaaaacccddeeeeeeeiiiiillnnnooooooorrsssstttuuuuuuuyyzzzs"
+# Letters and what they fold to, letters that become two, and signs that separate words.
+FOLD_FROM = "àáâãäåāăąçćĉċčďđèéêëēĕėęěĝğġģĥħìíîïĩīĭįıĵķĺļľŀłñńņňòóôõöøōŏőŕŗřśŝşšţťŧùúûüũūŭůűųŵýÿŷźżžðșț"
+FOLD_TO = "aaaaaaaaacccccddeeeeeeeeegggghhiiiiiiiiijklllllnnnnooooooooorrrsssstttuuuuuuuuuuwyyyzzzdst"
+FOLD_PAIRS = (("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("þ", "th"))
+FOLD_APART = r"""[\s\-–—/_.,;:()"'’]+"""
 
 
 def fold(text: Column) -> Column:
-    """Lower case, accents off, everything but letters and digits one blank, a blank before: a word begins where ' word'
-    occurs. Null gives ' '."""
+    """Lower case, accents off, signs between words one blank, a blank before: a word begins where ' word' occurs. Letters
+    of other scripts and other signs stay. Null gives ' '."""
     plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), FOLD_FROM, FOLD_TO)
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " ")))
+    for one, two in FOLD_PAIRS:
+        plain = F.replace(plain, F.lit(one), F.lit(two))
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(plain, FOLD_APART, " ")))
+
+
+def fold_sql(text: str) -> str:
+    """The same in SQL."""
+    plain = f"translate(lower(coalesce({text}, '')), '{FOLD_FROM}', '{FOLD_TO}')"
+    for one, two in FOLD_PAIRS:
+        plain = f"replace({plain}, '{one}', '{two}')"
+    apart = FOLD_APART.replace("'", "''")
+    return f"concat(' ', trim(regexp_replace({plain}, '{apart}', ' ', 'g'), ' '))"
 
 
 def cpv_clean(codes: Column) -> Column:
@@ -53,7 +66,8 @@ def redact(text: Column) -> Column:
 
 
 def slug(text: Column) -> Column:
-    return F.regexp_replace(F.trim(fold(text)), " +", "-")
+    """The folded text's letters a to z and digits, all else one hyphen."""
+    return F.regexp_replace(F.regexp_replace(fold(text), "[^a-z0-9]+", "-"), "^-|-$", "")
 
 
 def all_words(folded: Column, words: list[str]) -> Column:

@@ -19,7 +19,7 @@ def in_language(block: Column, lang: str) -> Column:
     stated = F.get_json_object(block, path)
     several = F.from_json(F.when(F.substring(stated, 1, 1) == "[", stated), "array<string>")
     some = F.try_element_at(F.filter(several, lambda t: F.trim(t) != ""), F.lit(1))
-    plain = F.when(F.substring(stated, 1, 1) == "[", some).otherwise(F.coalesce(F.get_json_object(block, f"{path}.value"), stated))
+    plain = F.when(several.isNotNull(), some).otherwise(F.coalesce(F.get_json_object(block, f"{path}.value"), stated))
     entries = F.from_json(F.when(F.substring(F.trim(block), 1, 1) == "[", block), "array<struct<lang:string,text:string>>")
     listed = F.try_element_at(F.filter(entries, lambda e: e["lang"] == lang), F.lit(1))["text"]
     return F.nullif(F.trim(F.when(F.substring(F.trim(block), 1, 1) == "[", listed).otherwise(plain)), F.lit(""))

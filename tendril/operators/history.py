@@ -61,20 +61,26 @@ class HistoryStore:
     """Raw snapshots and the chains built from them, under one folder.
 
     raw/u=<update>/bucket=<b>/ holds what came; chains/<update>/bucket=<b>/ the chains; manifest.json says which update
-    wrote the chains of each bucket and which updates count. Everything else in the folder is a leftover of an update
-    that did not end and is never read.
+    wrote the chains of each bucket, which updates count, and how many buckets there are. Everything else in the folder
+    is a leftover of an update that did not end and is never read.
+
+    There are as many buckets as keep them at ROWS raw rows or fewer on average: an update of n entities reads and
+    rewrites n buckets of that size at most, however long history is. When they grow beyond, the buckets are doubled,
+    which also puts the updates together; each row is rewritten a logarithmic number of times.
     """
 
-    def __init__(self, spark: SparkSession, path: str, entity: str, stamp: str, tie: str, attributes: dict[str, Column], buckets: int = 64):
-        self.spark, self.path, self.entity, self.stamp, self.tie, self.attributes, self.buckets = spark, path.rstrip("/"), entity, stamp, tie, attributes, buckets
+    ROWS, LEAST = 2_000_000, 8
+
+    def __init__(self, spark: SparkSession, path: str, entity: str, stamp: str, tie: str, attributes: dict[str, Column]):
+        self.spark, self.path, self.entity, self.stamp, self.tie, self.attributes = spark, path.rstrip("/"), entity, stamp, tie, attributes
 
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(self.entity), F.lit(self.buckets)).cast("int")
+    def _bucket(self, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(self.entity), F.lit(buckets)).cast("int")
 
     def manifest(self) -> dict:
         fs, p = _fs(self.spark, f"{self.path}/manifest.json")
         if not fs.exists(p):
-            return {"updates": [], "chains": {}}
+            return {"updates": [], "chains": {}, "buckets": 0, "rows": 0}
         stream = fs.open(p)
         try:
             return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
@@ -116,13 +122,15 @@ class HistoryStore:
         update = f"{len(manifest['updates']):06d}-{uuid.uuid4().hex[:8]}"
         used = dict.fromkeys([self.entity, self.stamp, self.tie])
         cols = list(dict.fromkeys([*used, *(n for n in batch.columns if n in self._inputs(batch))]))
-        rows = batch.select(*cols).where(F.col(self.entity).isNotNull() & F.col(self.stamp).isNotNull()).withColumn("bucket", self._bucket())
-        rows.repartition("bucket", F.pmod(F.xxhash64(self.stamp), F.lit(4))).write.partitionBy("bucket").parquet(f"{self.path}/raw/u={update}")
-        self._schema = T.StructType([*rows.drop("bucket").schema.fields, T.StructField("bucket", T.IntegerType())])
+        rows = batch.select(*cols).where(F.col(self.entity).isNotNull() & F.col(self.stamp).isNotNull())
+        self._schema = T.StructType([*rows.schema.fields, T.StructField("bucket", T.IntegerType())])
+        if not manifest["buckets"]:
+            manifest["buckets"] = self._enough(rows.count())
+        self._write_raw(rows, update, manifest["buckets"])
         came = self.spark.read.schema(self._schema).parquet(f"{self.path}/raw/u={update}")
         touched = came.select(self.entity, "bucket").distinct()
-        hit = sorted(r[0] for r in touched.select("bucket").distinct().collect())  # at most self.buckets numbers
-        after = {"updates": [*manifest["updates"], update], "chains": dict(manifest["chains"])}
+        hit = sorted(r[0] for r in touched.select("bucket").distinct().collect())  # at most as many numbers as buckets
+        after = manifest | {"updates": [*manifest["updates"], update], "chains": dict(manifest["chains"]), "rows": manifest["rows"] + came.count()}
         if hit:
             keys = touched.select(self.entity)
             raw = self._raw(after, hit).join(keys, self.entity, "left_semi") if manifest["updates"] else came.drop("bucket")
@@ -130,11 +138,35 @@ class HistoryStore:
             old = self._chains(manifest, hit)
             if old is not None:
                 rebuilt = rebuilt.unionByName(old.join(keys, self.entity, "left_anti"))
-            rebuilt.withColumn("bucket", self._bucket()).write.partitionBy("bucket").parquet(f"{self.path}/chains/{update}")
+            self._write_chains(rebuilt, update, after["buckets"])
             after["chains"] |= {str(b): update for b in hit}
         self._commit(after)
+        if after["rows"] > self.ROWS * after["buckets"]:
+            self._widen(after)
         return {"buckets": len(hit)}
 
+    def _enough(self, rows: int) -> int:
+        n = self.LEAST
+        while n * self.ROWS < rows:
+            n *= 2
+        return n
+
+    def _write_raw(self, rows: DataFrame, update: str, buckets: int) -> None:
+        rows.withColumn("bucket", self._bucket(buckets)).repartition("bucket", F.pmod(F.xxhash64(self.stamp), F.lit(4))).write.partitionBy("bucket").parquet(f"{self.path}/raw/u={update}")
+
+    def _write_chains(self, chains: DataFrame, update: str, buckets: int) -> None:
+        chains.withColumn("bucket", self._bucket(buckets)).repartition("bucket", F.pmod(F.xxhash64("valid_from"), F.lit(2))).write.partitionBy("bucket").parquet(f"{self.path}/chains/{update}")
+
+    def _widen(self, manifest: dict) -> None:
+        """More buckets for the same rows, swapped in by one manifest like an update."""
+        old = [int(b) for b in manifest["chains"]]
+        buckets = self._enough(manifest["rows"])
+        update = f"{len(manifest['updates']):06d}-{uuid.uuid4().hex[:8]}"
+        self._write_raw(self._raw(manifest, range(manifest["buckets"])), update, buckets)
+        self._write_chains(self._chains(manifest, old), update, buckets)
+        filled = [r[0] for r in self.spark.read.parquet(f"{self.path}/chains/{update}").select("bucket").distinct().collect()]
+        self._commit({"updates": [update], "chains": {str(b): update for b in filled}, "buckets": buckets, "rows": manifest["rows"]})
+
     def _inputs(self, batch: DataFrame) -> set[str]:
         """Columns that the attributes read."""
         plan = batch.select(*[c.alias(n) for n, c in self.attributes.items()])

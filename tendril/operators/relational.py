@@ -25,9 +25,9 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
 
 def top_n_and_other(counts: DataFrame, key: str, n: str, most: int, other: str = "OTHER") -> DataFrame:
     """The most frequent keys, and one row for all the rest; null keys are part of the rest and never dropped."""
-    ranked = counts.withColumn("_place", F.when(F.col(key).isNotNull(), F.row_number().over(Window.orderBy(F.col(key).isNull(), F.desc(n), F.col(key)))))
-    named = F.when(F.col("_place") <= most, F.col(key)).otherwise(F.lit(other))
-    return ranked.groupBy(named.alias(key)).agg(F.sum(n).alias(n))
+    top = counts.where(F.col(key).isNotNull()).orderBy(F.desc(n), key).limit(most).select(F.col(key).alias("_top"))
+    named = counts.join(F.broadcast(top), F.col(key) == F.col("_top"), "left")
+    return named.groupBy(F.coalesce("_top", F.lit(other)).alias(key)).agg(F.sum(n).alias(n))
 
 
 def months_between(df: DataFrame, day: str) -> DataFrame:
@@ -131,10 +131,29 @@ def components(pairs: DataFrame, a: str, b: str, most: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components are not closed after {most} rounds")
     ids = pairs.select(F.explode(F.array(a, b)).alias("id")).where("id is not null").distinct()
     return ids.join(edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m")), "id", "left").select("id", F.coalesce("m", "id").alias("component"))
 
 
+def longest_levels(edges: DataFrame, node: str, before: str, roots: DataFrame, most: int = 1000) -> DataFrame:
+    """(node, level): how many edges the longest way from a root has, for what can be reached; roots are at 0. A round is
+    a level and holds each node once; later levels replace earlier ones. A circle, or more than `most` levels, is an
+    error. Null ends count for nothing; no roots give no rows."""
+    ways = edges.select(F.col(node).alias("_to"), F.col(before).alias("_from")).where("_to is not null and _from is not null").distinct()
+    front = staged(roots.select(F.col(node).alias("_at")).where("_at is not null").distinct(), "front")
+    levels = front.select(F.col("_at").alias(node), F.lit(0).cast("long").alias("level"))
+    for k in range(1, most + 1):
+        front = staged(ways.join(front, F.col("_from") == F.col("_at")).select(F.col("_to").alias("_at")).distinct(), "front")
+        if front.isEmpty():
+            return levels
+        levels = levels.join(front, F.col(node) == F.col("_at"), "left_anti").unionByName(front.select(F.col("_at").alias(node), F.lit(k).cast("long").alias("level")))
+        if k % 8 == 0:
+            levels = staged(levels, "levels")
+    raise RuntimeError(f"ways of more than {most} edges: a circle?")
+
+
 def trigrams(text: Column) -> Column:
     """Set of trigrams: each word of letters and digits padded by two blanks before and one behind."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")

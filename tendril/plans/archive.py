@@ -91,10 +91,10 @@ def r03(s: SparkSession, d: str) -> DataFrame:
     return o.join(head, "k").select("id", "canonical", F.substring_index("k", ":", 1).alias("stage"))
 
 
-@query("r04_legal_forms", r"select supplier_id, regexp_extract(" + FOLD.format("name") + r", ' (gmbh co kg|gmbh|ag|sarl|sas|sa|slu|sl|bv|nv|ab|srl|spa|sro)( |$)', 1) as form from supplier_dedupe")
+@query("r04_legal_forms", r"select supplier_id, regexp_extract(" + FOLD.format("name") + r", ' (gmbh & co kg|gmbh co kg|gmbh|ag|sarl|sas|sa|slu|sl|bv|nv|ab|srl|spa|sro)( |$)', 1) as form from supplier_dedupe")
 def r04(s: SparkSession, d: str) -> DataFrame:
     """Legal forms in names."""
-    return table(s, d, "supplier_dedupe").select("supplier_id", F.regexp_extract(S.fold(F.col("name")), " (gmbh co kg|gmbh|ag|sarl|sas|sa|slu|sl|bv|nv|ab|srl|spa|sro)( |$)", 1).alias("form"))
+    return table(s, d, "supplier_dedupe").select("supplier_id", F.regexp_extract(S.fold(F.col("name")), " (gmbh & co kg|gmbh co kg|gmbh|ag|sarl|sas|sa|slu|sl|bv|nv|ab|srl|spa|sro)( |$)", 1).alias("form"))
 
 
 @query("r05_repoint", f"with recursive {CHAIN}, {LINE} select coalesce(live.head, winner) winner, count(*) n, count(*) filter (live.head <> winner) moved from line left join live on live.id = winner group by 1")
@@ -122,9 +122,12 @@ def r12(s: SparkSession, d: str) -> DataFrame:
         return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
     o = table(s, d, "organisation").select("organisation_id", "country", F.lower("canonical_name").alias("name")).where("name is not null")
-    a, b = o.alias("a"), o.alias("b")
-    pairs = a.join(b, (F.col("a.country") == F.col("b.country")) & (F.col("a.organisation_id") < F.col("b.organisation_id")) & (F.least(F.length("a.name"), F.length("b.name")) >= 0.8 * F.greatest(F.length("a.name"), F.length("b.name"))))
-    return pairs.select(F.col("a.organisation_id").alias("a"), F.col("b.organisation_id").alias("b"), ratio("a.name", "b.name").alias("r")).where("r >= 0.9").select("a", "b", F.round("r", 4).alias("ratio"))
+    # at a ratio of 0.9 a tenth of each name lies outside the blocks, in as many places at most: 0.7 of the trigrams of
+    # either name stay, which is 0.53 of all; equal names are far above
+    near = R.trigram_pairs(o, "organisation_id", "name", ["country"], 0.5)
+    x, y = o.select(F.col("organisation_id").alias("a"), F.col("name").alias("x")), o.select(F.col("organisation_id").alias("b"), F.col("name").alias("y"))
+    pairs = near.join(x, "a").join(y, "b")
+    return pairs.select("a", "b", ratio("x", "y").alias("r")).where("r >= 0.9").select("a", "b", F.round("r", 4).alias("ratio"))
 
 
 @query("t02_timeline")

@@ -11,7 +11,7 @@ from tendril.operators import relational as R
 from tendril.plans.views import AS_OF, LINE, OPP, lines, opportunities
 from tendril.session import table
 
-FOLD = f"concat(' ', trim(regexp_replace(translate(lower(coalesce({{0}}, '')), '{S.FOLD_FROM}', '{S.FOLD_TO}'), '[^a-z0-9]+', ' ', 'g')))"
+FOLD = S.fold_sql("{0}")
 CODES = f"{LINE}, codes as (select id, list_sort(list(distinct code)) codes from line group by id)"
 
 
@@ -105,7 +105,7 @@ def n18(s: SparkSession, d: str) -> DataFrame:
     return opportunities(s, d).select("id", S.canonical_hash(F.col("buyer"), F.col("status"), F.col("published"), F.col("priority")).alias("hash_"))
 
 
-@query("n19_slug", "select organisation_id, replace(trim(" + FOLD.format("canonical_name") + "), ' ', '-') slug from organisation")
+@query("n19_slug", "select organisation_id, regexp_replace(regexp_replace(" + FOLD.format("canonical_name") + ", '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') slug from organisation")
 def n19(s: SparkSession, d: str) -> DataFrame:
     """Slugs of names."""
     return table(s, d, "organisation").select("organisation_id", S.slug(F.col("canonical_name")).alias("slug"))
@@ -260,9 +260,10 @@ def d01(s: SparkSession, d: str) -> DataFrame:
 @query("d04_longest_path", "with recursive e as (select s_suppkey id, s_suppkey // 2 before from supplier where s_suppkey > 0 union all select s_suppkey, s_suppkey // 3 from supplier where s_suppkey > 0 and s_suppkey % 3 = 0), walk(id, n) as (select s_suppkey, 0 from supplier where s_suppkey = 0 union select e.id, n + 1 from walk join e on e.before = walk.id) select id, cast(max(n) as bigint) as level from walk group by id")
 def d04(s: SparkSession, d: str) -> DataFrame:
     """Levels of a graph of prerequisites: the longest way from a root."""
-    sup = table(s, d, "supplier").select(F.col("s_suppkey").alias("id")).where("id > 0")
-    sup.select("id", F.expr("id div 2").alias("before")).unionByName(sup.where("id % 3 = 0").select("id", F.expr("id div 3").alias("before"))).createOrReplaceTempView("tendril_d04")
-    return s.sql("with recursive walk(id, n) as (select cast(0 as bigint), 0 union all select distinct e.id, n + 1 from walk join tendril_d04 e on e.before = walk.id) select id, cast(max(n) as bigint) level from walk group by id")
+    sup = table(s, d, "supplier").select(F.col("s_suppkey").alias("id"))
+    some = sup.where("id > 0")
+    edges = some.select("id", F.expr("id div 2").alias("before")).unionByName(some.where("id % 3 = 0").select("id", F.expr("id div 3").alias("before")))
+    return R.longest_levels(edges, "id", "before", sup.where("id = 0"))
 
 
 @query("d06_reconcile", "with f as (select user_id, event_type, value, row_number() over (partition by user_id order by case event_type when 'purchase' then 0 when 'click' then 1 else 2 end, ts desc, event_id desc) k from events) select user_id, event_type source, value from f where k = 1")

@@ -64,15 +64,18 @@ def test_empty(spark):
     assert versions(spark.createDataFrame([], SCHEMA), "e", "at", "tie", attributes()).count() == 0
 
 
-def test_store_late_and_corrected_rows(spark):
+@pytest.mark.parametrize("most", [30, 2_000_000])
+def test_store_late_and_corrected_rows(spark, monkeypatch, most):
+    """With few rows to a bucket the store doubles its buckets on the way."""
+    monkeypatch.setattr(HistoryStore, "ROWS", most)
     rows = some(2)
     r = random.Random(5)
     r.shuffle(rows)
-    store = HistoryStore(spark, scratch(spark, "test"), "e", "at", "tie", attributes(), buckets=4)
+    store = HistoryStore(spark, scratch(spark, "test"), "e", "at", "tie", attributes())
     for part in (rows[:250], rows[250:251], [], rows[251:]):
         store.apply(spark.createDataFrame(part, SCHEMA))
         got = rows_of(store.history())
-    assert got == brute(rows)
+    assert got == brute(rows) and store.manifest()["buckets"] == (16 if most == 30 else 8)
     # an update that touches one bucket leaves the chains of the others where they are
     before = store.manifest()["chains"]
     store.apply(spark.createDataFrame([(2, T0, 10_000, "late", None, "", "")], SCHEMA))

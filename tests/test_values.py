@@ -31,7 +31,7 @@ def test_contract_period(spark):
 
 
 def test_texts_by_language(spark):
-    rows = [('{"eng": "a", "deu": "b"}', "a"), ('{"eng": ["x", "y"]}', "x"), ('{"eng": [null, " ", "w"]}', "w"), ('{"eng": {"value": " z ", "auto": true}}', "z"), ('[{"lang": "deu", "text": "d"}, {"lang": "eng", "text": "e"}]', "e"), ('{"eng": " "}', None), ('{"deu": "b"}', None), (None, None), ("[]", None)]
+    rows = [('{"eng": "a", "deu": "b"}', "a"), ('{"eng": ["x", "y"]}', "x"), ('{"eng": [null, " ", "w"]}', "w"), ('{"eng": "[draft] t"}', "[draft] t"), ('{"eng": {"value": " z ", "auto": true}}', "z"), ('[{"lang": "deu", "text": "d"}, {"lang": "eng", "text": "e"}]', "e"), ('{"eng": " "}', None), ('{"deu": "b"}', None), (None, None), ("[]", None)]
     got = [r.t for r in spark.createDataFrame(rows, "b string, want string").select(V.in_language(F.col("b"), "eng").alias("t")).collect()]
     assert got == [w for _, w in rows]
 
@@ -40,3 +40,26 @@ def test_person_reason(spark):
     rows = [("Anna Maria Nowak", None, "person_name"), ("Nowak Sp. z o.o.", "12345678Z", None), ("Instalaciones García", "12345678-Z", "person_identifier"), ("", None, "person_marked"), (None, None, "person_marked"), ("osoba fizyczna", None, "person_marked"), ("Usługi Remontowe Jan Lis", None, "person_in_trading_name"), ("MIASTO ŁÓDŹ", None, None)]
     got = [r.x for r in spark.createDataFrame(rows, "n string, m string, w string").select(V.person_reason(F.col("n"), F.col("m")).alias("x")).collect()]
     assert got == [w for *_, w in rows]
+
+
+def test_fold_keeps_what_is_no_separator(spark):
+    from tendril.functions import scalar as S
+
+    rows = [("Straße – Œuvre/Ærø", " strasse oeuvre aero"), ("Þór & Ðóra: Київ 東京", " thor & dora київ 東京"), ("Łódź.Șoseaua (ÎN)", " lodz soseaua in"), (None, " "), ("", " "), (" – ", " ")]
+    df = spark.createDataFrame(rows, "t string, w string")
+    assert [r.f for r in df.select(S.fold(F.col("t")).alias("f")).collect()] == [w for _, w in rows]
+    assert [r.f for r in df.select(S.slug(F.col("t")).alias("f")).collect()][:2] == ["strasse-oeuvre-aero", "thor-dora"]
+
+
+def test_levels_and_components_do_not_end_early(spark):
+    import pytest
+
+    from tendril.operators import relational as R
+
+    edges = spark.createDataFrame([(2, 1), (3, 2), (3, 1), (4, 3), (9, 8), (5, None)], "n long, b long")
+    roots = spark.createDataFrame([(1, "x"), (None, "x")], "n long, level string")
+    assert sorted(map(tuple, R.longest_levels(edges, "n", "b", roots.select("n")).collect())) == [(1, 0), (2, 1), (3, 2), (4, 3)]
+    with pytest.raises(RuntimeError):
+        R.longest_levels(spark.createDataFrame([(1, 1)], "n long, b long"), "n", "b", roots.select("n"), 3)
+    with pytest.raises(RuntimeError):
+        R.components(spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long"), "a", "b", 1)
