@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,21 +37,33 @@ def notice_body(notices: DataFrame, key: str = "rec_id", body: str = "donnees")
     return notices.select(key, shape.alias("shape"), code.alias("cpv"))
 
 
-def write_bundles(records: DataFrame, path: str, day: str, files_a_day: int = 1) -> None:
+def write_bundles(records: DataFrame, path: str, day: str, files_a_day: int = 1, mode: str = "append") -> None:
     """Gzipped JSON lines, bundled by day: files_a_day files for each."""
     salt = F.pmod(F.xxhash64(*records.columns), F.lit(files_a_day))
-    records.repartition(day, salt).write.partitionBy(day).option("compression", "gzip").mode("append").json(path)
+    records.repartition(day, salt).write.partitionBy(day).option("compression", "gzip").mode(mode).json(path)
 
 
 def compact(spark: SparkSession, small: str, bundles: str, day: str, schema: T.StructType | str) -> int:
-    """Bundles many small files by day, and removes them once the bundles hold as many records. Returns that number."""
+    """Bundles many small files by day, and removes them once the bundles hold as many records. Returns that number.
+
+    May be run again wherever a run has ended: the bundles of a listing of files have a folder of their own, which is
+    written anew, and the files leave their place in one rename. Without the folder there is nothing to do."""
+    fs, here = _fs(spark, small)
+    if not fs.exists(here):
+        return 0
+    files, names = fs.listFiles(here, True), []
+    while files.hasNext():
+        f = files.next()
+        names.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    batch = hashlib.sha1("\n".join(sorted(names)).encode()).hexdigest()[:16]
     records = spark.read.schema(schema).json(small)
     n = records.count()
-    before = spark.read.schema(schema).json(bundles).count() if _fs(spark, bundles)[0].exists(_fs(spark, bundles)[1]) else 0
-    write_bundles(records, bundles, day)
-    if spark.read.schema(schema).json(bundles).count() != before + n:
+    write_bundles(records, f"{bundles}/batch={batch}", day, mode="overwrite")
+    if spark.read.schema(schema).json(f"{bundles}/batch={batch}").count() != n:
         raise RuntimeError("the bundles do not hold all records; nothing was removed")
-    remove(spark, small)
+    done = f"{small.rstrip('/')}-done-{batch}"
+    fs.rename(here, _fs(spark, done)[1])
+    remove(spark, done)
     return n
 
 

@@ -59,12 +59,22 @@ def test_quarantine(spark):
         W.quarantine(lines, "t", "a long", 1)
 
 
-def test_bundles(spark, tmp_path):
+def test_bundles(spark, tmp_path, monkeypatch):
     df = spark.createDataFrame([(i, f"2025-01-0{1 + i % 3}") for i in range(30)], "id long, day string")
     small, bundles = str(tmp_path / "small"), str(tmp_path / "bundles")
     df.repartition(10).write.json(small)
     assert records.compact(spark, small, bundles, "day", "id long, day string") == 30
     assert spark.read.schema("id long, day string").json(bundles).count() == 30 and not (tmp_path / "small").exists()
+    assert records.compact(spark, small, bundles, "day", "id long, day string") == 0
+    # a run that ended between writing and removing is run again; another delivery comes beside it
+    df.select((F.col("id") + 100).alias("id"), "day").repartition(3).write.json(small)
+    with monkeypatch.context() as m:
+        m.setattr(records, "remove", lambda *_: None)
+        m.setattr(records, "_fs", lambda s, p, at=records._fs: at(s, p) if not p.endswith(tuple("0123456789abcdef")) else (_ for _ in ()).throw(OSError()))
+        with pytest.raises(OSError):
+            records.compact(spark, small, bundles, "day", "id long, day string")
+    assert records.compact(spark, small, bundles, "day", "id long, day string") == 30
+    assert spark.read.schema("id long, day string").json(bundles).select("id").distinct().count() == spark.read.schema("id long, day string").json(bundles).count() == 60
     records.export_csv(df.orderBy("id"), str(tmp_path / "csv"), 5)
     assert spark.read.option("header", "true").csv(str(tmp_path / "csv")).count() == 5
 
