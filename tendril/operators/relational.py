@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tendril.session import staged
 
+#: Parts into which the rows of one name are cut where they meet others.
+SLICES = 8
+
 
 def distinct_on(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in an order. Make the order total, or which of equal rows stays is open."""
@@ -161,23 +164,36 @@ def trigrams(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(grams)))
 
 
-def trigram_pairs(df: DataFrame, key: str, text: str, block: Sequence[str], threshold: float) -> DataFrame:
-    """Pairs (a, b, similarity), a < b, of rows of one block whose trigram sets have this Jaccard similarity. Prefix
-    filter: of two such sets, the rarest few trigrams of one meet the rarest few of the other."""
-    grams = df.select(F.col(key).alias("id"), *block, trigrams(F.col(text)).alias("g")).where(F.size("g") > 0)
+def trigram_pairs(df: DataFrame, key: str, text: str, block: Sequence[str], threshold: float, digits: int | None = None) -> DataFrame:
+    """Pairs (a, b, similarity), a < b, of rows of one block whose trigram sets have this Jaccard similarity, rounded to
+    `digits` after it was held against the threshold. Prefix filter: of two such sets, the rarest few trigrams of one meet
+    the rarest few of the other. Texts are compared once, however many rows bear them."""
+    named = df.select(F.col(key).alias("id"), F.struct(*block, F.lower(text).alias("_text")).alias("name")).where(F.col("name._text").isNotNull())
+    for c in block:
+        named = named.where(F.col(f"name.{c}").isNotNull())
+    grams = named.select("name").distinct().withColumn("g", trigrams(F.col("name._text"))).where(F.size("g") > 0)
     frequency = grams.select(F.explode("g").alias("t")).groupBy("t").agg(F.count("*").alias("f"))
-    rows = grams.select("id", *block, F.size("g").alias("n"), F.explode("g").alias("t")).join(frequency, "t")
-    place = F.row_number().over(Window.partitionBy("id").orderBy("f", "t"))
-    prefix = rows.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("id", *block, "n", "t")
+    rows = grams.select("name", F.size("g").alias("n"), F.explode("g").alias("t")).join(frequency, "t")
+    place = F.row_number().over(Window.partitionBy("name").orderBy("f", "t"))
+    prefix = rows.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("name", *[F.col(f"name.{c}").alias(c) for c in block], "n", "t")
     a, b = prefix.alias("a"), prefix.alias("b")
-    on = (F.col("a.t") == F.col("b.t")) & (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * threshold)
+    on = (F.col("a.t") == F.col("b.t")) & (F.col("a.name") < F.col("b.name")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * threshold)
     for c in block:
         on = on & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-    met = a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    sets = grams.select("id", "g")
-    both = met.join(sets.select(F.col("id").alias("a"), F.col("g").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("g").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.withColumn("similarity", common / (F.size("x") + F.size("y") - common)).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    met = a.join(b, on).select(F.col("a.name").alias("x"), F.col("b.name").alias("y")).distinct()
+    both = met.join(grams.select(F.col("name").alias("x"), F.col("g").alias("u")), "x").join(grams.select(F.col("name").alias("y"), F.col("g").alias("v")), "y")
+    common = F.size(F.array_intersect("u", "v"))
+    alike = both.withColumn("similarity", common / (F.size("u") + F.size("v") - common)).where(F.col("similarity") >= threshold).select("x", "y", "similarity")
+    alike = alike.unionByName(grams.select(F.col("name").alias("x"), F.col("name").alias("y"), F.lit(1.0).alias("similarity")))
+    if digits is not None:
+        alike = alike.withColumn("similarity", F.round("similarity", digits))
+    # the rows of a name meet in slices, so that a usual name is not the work of one task; the number of partitions is
+    # stated, since what is read here is small and what comes of it is not
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = alike.join(named.withColumnRenamed("name", "x"), "x").select("y", (F.col("x") == F.col("y")).alias("same"), "similarity", F.col("id").alias("i"), F.pmod(F.hash("id"), F.lit(SLICES)).alias("slice"))
+    right = named.select(F.col("name").alias("y"), F.col("id").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("slice"))
+    rows = left.repartition(n, "y", "slice").alias("l").join(right.repartition(n, "y", "slice").alias("r"), (F.col("l.y") == F.col("r.y")) & (F.col("l.slice") == F.col("r.slice")) & F.expr("i < j or i > j and not same"))
+    return rows.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "similarity")
 
 
 def neighbours(edges: DataFrame, member: str, group: str) -> DataFrame:

@@ -146,8 +146,8 @@ n as (select id, count(*) n from g group by id), c as (select a.id a, b.id b, co
 select c.a, c.b, round(k / cast(x.n + y.n - k as double), 4) similarity from c join n x on x.id = a join n y on y.id = b where k / cast(x.n + y.n - k as double) >= 0.6""")
 def j17(s: SparkSession, d: str) -> DataFrame:
     """Similar names within a brand, by trigrams."""
-    found = R.trigram_pairs(table(s, d, "part").select("p_partkey", "p_name", "p_brand"), "p_partkey", "p_name", ["p_brand"], 0.6)
-    return found.select("a", "b", F.round("similarity", 4).alias("similarity"))
+    found = R.trigram_pairs(table(s, d, "part").select("p_partkey", "p_name", "p_brand"), "p_partkey", "p_name", ["p_brand"], 0.6, 4)
+    return found.select("a", "b", "similarity")
 
 
 @query("j18_neighbours", f"with {LINE}, e as (select distinct id, winner from line), p as (select a.winner w, b.winner p, count(*) n from e a join e b on a.id = b.id and a.winner <> b.winner group by 1, 2), r as (select *, row_number() over (partition by w order by n desc, p) k from p) select w member, p partner, n shared from r where k <= 20")

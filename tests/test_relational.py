@@ -60,6 +60,29 @@ def test_trigram_pairs(spark):
     assert got == want
 
 
+def most_joined(node) -> int:
+    """The rows that the largest join of an executed plan gave."""
+    name = node.nodeName()
+    if "AdaptiveSparkPlan" in name:
+        return most_joined(node.executedPlan())
+    if name.endswith("QueryStage"):
+        return most_joined(node.plan())
+    children = node.children()
+    own = node.metrics().apply("numOutputRows").value() if "Join" in name else 0
+    return max([own, *(most_joined(children.apply(i)) for i in range(children.size()))])
+
+
+def test_trigram_pairs_of_copies_meet_once(spark):
+    """Rows of one text meet for the result only, not once for every trigram that they share."""
+    rows = [(i, "xy"[i % 2], ("alpha works", "Alpha work")[i % 3 == 0]) for i in range(240)] + [(900, None, "alpha works"), (901, "x", None)]
+    found = R.trigram_pairs(spark.createDataFrame(rows, "id long, b string, n string"), "id", "n", ["b"], 0.6)
+    got = found.collect()
+    want = {(i, j) for i, b, _ in rows[:240] for j, c, _ in rows[:240] if i < j and b == c}
+    assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
+    assert {r.similarity == 1 for r in got if (r.a % 3 == 0) == (r.b % 3 == 0)} == {True} and {r.similarity < 1 for r in got if (r.a % 3 == 0) != (r.b % 3 == 0)} == {True}
+    assert most_joined(found._jdf.queryExecution().executedPlan()) <= len(want)
+
+
 def test_upsert(spark):
     held, came = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id long, v string"), spark.createDataFrame([(2, "c"), (3, None), (4, "d")], "id long, v string")
     assert {(r.id, r.v, r.outcome) for r in R.upsert(held, came, "id", ["v"]).collect()} == {(1, "a", "kept"), (2, "c", "changed"), (3, None, "unchanged"), (4, "d", "new")}
