@@ -48,3 +48,25 @@ def test_p1_number_with_many_spellings_keeps_its_rows(spark):
     n = len(spellings) + 1
     assert {(x.id_a, x.id_b) for x in matching.pairs_of_groups(groups, member).collect()} == {(i, j) for i in range(n) for j in range(i + 1, n)}
     assert scored.where("p >= 1000").count() < len(others)  # not all pairs of them were compared
+
+
+def test_p1_all_spellings_of_a_usual_number_meet(spark):
+    """Two spellings that are each like one another, but neither close by bits nor like the most usual ones of their
+    number, are found whether it has a hundred spellings of few companies or of more than MOST_NAMES."""
+    r = random.Random(11)
+    made = lambda: "".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(6)).title()
+    parse = Names(frozenset()).parse
+    vector = lambda n: sum((b & (2**64 - 1)) << 64 * k for k, b in enumerate(matching.name_vector(parse(n)[0])))
+    like = lambda a, b: 2 * (vector(a) & vector(b)).bit_count() / (vector(a).bit_count() + vector(b).bit_count())
+    pair = ("Verbastulin Okramedu Silfanore", "Verbastulin Okramydu Silfanyre")
+    assert (vector(pair[0]) ^ vector(pair[1])).bit_count() > matching.RADIUS and like(*pair) >= matching.OWN_NAME
+    others = sorted({made() for _ in range(2 * matching.MOST_NAMES)})
+    slips = sorted({"Gadokibure"[:k] + a + b + "Gadokibure"[k + 1 :] for k in range(1, 10) for a in "bdfgk" for b in "aeo"})[: matching.MOST_NAMES + 20]
+    assert max(like(p, n) for p in pair for n in [*others, *slips]) < matching.LEAST_NAME
+    rows = [(i, n, ["112233441"], "FR", None) for i, n in enumerate([*others, *pair])]
+    rows += [(1000 + i, n, ["556677889"], "SE", None) for i, n in enumerate([*slips, *pair])]
+    df = spark.createDataFrame(rows, "sid long, name string, numbers array<string>, country string, city string")
+    scored, _, _ = matching.matches(df, "sid", "name", "numbers", "country", "city")
+    got = {(x.p, x.q) for x in scored.where("confidence >= 0.5").collect()}
+    assert {(len(others), len(others) + 1), (1000 + len(slips), 1001 + len(slips))} <= got
+    assert not [x for x in got if x[0] < len(others)]
