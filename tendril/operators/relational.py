@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import re
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tendril.session import staged
+from tendril.session import _fs, scratch, staged
 
 #: Parts into which the rows of one name are cut where they meet others.
 SLICES = 8
+#: Edges of members to groups that make one more block of members.
+CELL_EDGES = 3_000_000
 
 
 def distinct_on(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -204,6 +211,86 @@ def neighbours(edges: DataFrame, member: str, group: str) -> DataFrame:
     return pairs.select(F.explode(F.expr("array(struct(m as m, p as p), struct(p as m, m as p))")).alias("e"), "shared").select(F.col("e.m").alias("member"), F.col("e.p").alias("partner"), "shared")
 
 
+def meeting_pairs(edges: DataFrame, member: str, group: str, least: int) -> DataFrame:
+    """(member, partner, shared), member < partner: whole numbers that share at least `least` groups, and how many. No
+    pair is shuffled: members are written in blocks, and a task reads two blocks with their groups and counts all pairs
+    between them, one member against the lists of its groups' members at a time. So disk holds each edge once."""
+    spark = edges.sparkSession
+    one = staged(edges.select(F.col(member).cast("long").alias("m"), F.col(group).alias("g")).where("m is not null and g is not null").distinct(), "edges")
+    blocks = max(1, -(-one.count() // CELL_EDGES))
+    ids = staged(one.select("g").distinct().select("g", F.monotonically_increasing_id().alias("k")), "groups")
+    of_member = one.join(ids, "g").groupBy("m").agg(F.collect_list("k").alias("ks")).withColumn("block", F.pmod(F.xxhash64("m"), F.lit(blocks)).cast("int"))
+    path = scratch(spark, "blocks")
+    of_member.repartition(blocks, "block").write.partitionBy("block").parquet(path)
+    filesystem, at_path = _fs(spark, path)
+    uri = re.sub("^file:/+", "file:///", filesystem.makeQualified(at_path).toString())
+
+    def block_of(number: int) -> pa.Table:
+        files, base = pafs.FileSystem.from_uri(uri)
+        infos = files.get_file_info(pafs.FileSelector(f"{base}/block={number}", allow_not_found=True))
+        none = pa.table({"m": pa.array([], pa.int64()), "ks": pa.array([], pa.list_(pa.int64()))})
+        tables = [none]
+        for info in sorted(infos, key=lambda x: x.path):
+            if info.base_name.endswith(".parquet"):
+                with files.open_input_file(info.path) as f:
+                    tables.append(pq.read_table(f, columns=["m", "ks"], use_threads=False).cast(none.schema))
+        return pa.concat_tables(tables)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cell in batch.column(0).to_pylist():
+                yield from counted(*divmod(cell, blocks))
+
+    def counted(low: int, high: int) -> Iterator[pa.RecordBatch]:
+        if low > high:
+            return
+        same = low == high
+        both = [block_of(high)] if same else [block_of(low), block_of(high)]
+        right = np.repeat([True] if same else [False, True], [t.num_rows for t in both])
+        t = pa.concat_tables(both).combine_chunks()
+        if not t.num_rows:
+            return
+        m = t["m"].to_numpy()
+        lists = pa.concat_arrays(t["ks"].chunks)
+        sizes, ks = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+        del t, both
+        groups, k = np.unique(ks, return_inverse=True)
+        k, row = k.astype(np.int32), np.repeat(np.arange(len(m), dtype=np.int32), sizes)
+        del ks, lists
+        order = np.argsort(m)
+        place = np.empty(len(m), np.int32)  # members by size, so that those above one stand behind it
+        of_right = order[right[order]]
+        place[of_right] = np.arange(len(of_right), dtype=np.int32)
+        names = m[of_right]
+        listed = right[row]
+        at, who = k[listed], place[row[listed]]
+        by = np.lexsort((who, at))
+        who, starts = who[by].astype(np.int64), np.searchsorted(at[by], np.arange(len(groups) + 1))
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        out, held = [], 0
+        for i in np.arange(len(m)) if same else np.flatnonzero(~right):
+            lists = [who[starts[g] : starts[g + 1]] for g in k[first[i] : first[i + 1]]]
+            shared = np.bincount(np.concatenate(lists), minlength=len(names))
+            if same:
+                shared[: place[i] + 1] = 0
+            met = np.flatnonzero(shared >= least)
+            if len(met):
+                out.append((np.full(len(met), m[i]), names[met], shared[met]))
+                held += len(met)
+            if held > 100_000:
+                yield _pairs(out)
+                out, held = [], 0
+        if out:
+            yield _pairs(out)
+
+    return spark.range(blocks * blocks, numPartitions=blocks * blocks).mapInArrow(run, "member long, partner long, shared long")
+
+
+def _pairs(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    x, y, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(n)], names=["member", "partner", "shared"])
+
+
 def change_set(before: dict[str, Column], after: dict[str, Column]) -> Column:
     """Names of the fields that differ, in order; null, empty text and empty list are one."""
     empty = lambda c: F.nullif(c.cast("string"), F.lit(""))

@@ -200,7 +200,7 @@ COMP = f"{LINE}, {OPP}, {BUY}, m as (select distinct winner, family, substr(code
 def j24(s: SparkSession, d: str) -> DataFrame:
     """Winners that meet in three or more markets of buyer family and class."""
     m = lines(s, d).join(opportunities(s, d).select("id", "buyer"), "id").join(buyers(s, d).select("buyer", "family"), "buyer").select("winner", F.concat_ws(":", "family", F.substring("code", 1, 4)).alias("market"))
-    return R.neighbours(m, "winner", "market").where("member < partner and shared >= 3").select(F.col("member").alias("winner"), F.col("partner").alias("rival"), F.col("shared").alias("markets"))
+    return R.meeting_pairs(m, "winner", "market", 3).select(F.col("member").alias("winner"), F.col("partner").alias("rival"), F.col("shared").alias("markets"))
 
 
 @query("j25_gap", f"with {LINE}, {SUP}, p as (select l.id, max(case when country = 'NATION_7' then 1 else 0 end) has from line l join sup using (winner) group by l.id), e as (select distinct id, winner from line) select winner, count(*) n from e join p using (id) group by winner having count(*) >= 100 and sum(has) < 0.06 * count(*)")

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tendril.functions import scalar as S
@@ -83,6 +84,23 @@ def test_trigram_pairs_of_copies_meet_once(spark):
     assert most_joined(found._jdf.queryExecution().executedPlan()) <= len(want)
 
 
+@pytest.mark.parametrize("edges", [20, 100, 10_000])
+def test_meeting_pairs(spark, monkeypatch, edges):
+    """In one cell and in many: all pairs that share enough groups, each once, none of them shuffled."""
+    monkeypatch.setattr(R, "CELL_EDGES", edges)
+    r = random.Random(3)
+    rows = [(r.choice([-5, 0, *range(1, 90)]) * 7, f"g{int(r.random() ** 2 * 40)}") for _ in range(900)] + [(None, "g0"), (1, None)]
+    of = {}
+    for m, g in rows:
+        if m is not None and g is not None:
+            of.setdefault(m, set()).add(g)
+    want = {(a, b, len(of[a] & of[b])) for a in of for b in of if a < b and len(of[a] & of[b]) >= 3}
+    found = R.meeting_pairs(spark.createDataFrame(rows, "m long, g string"), "m", "g", 3)
+    assert sorted(tuple(x) for x in found.collect()) == sorted(want) and len(want) > 200
+    assert most_joined(found._jdf.queryExecution().executedPlan()) <= len(rows)
+    assert R.meeting_pairs(spark.createDataFrame([], "m long, g string"), "m", "g", 3).count() == 0
+
+
 def test_upsert(spark):
     held, came = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id long, v string"), spark.createDataFrame([(2, "c"), (3, None), (4, "d")], "id long, v string")
     assert {(r.id, r.v, r.outcome) for r in R.upsert(held, came, "id", ["v"]).collect()} == {(1, "a", "kept"), (2, "c", "changed"), (3, None, "unchanged"), (4, "d", "new")}
